@@ -18,8 +18,40 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its sequence and place."""
+    from .packing import pack_documents
+
+    return pack_documents(spark, _table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for quality."""
+    from .quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text stored as a baseline JPEG, read back, with dimensions and thumbnail hash."""
+    from .media import media_features
+
+    return media_features(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for toxicity."""
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
+    "op5_pack_sequences": op5_pack_sequences,
+    "op6_quality": op6_quality,
+    "op7_media": op7_media,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

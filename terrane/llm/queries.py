@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,6 +20,13 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's cell, tokens, calibrated probability and whether it is drawn."""
+    from .mixing import mix_report
+
+    return mix_report(spark, _table(spark, sf_dir, "documents"))
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its sequence and place."""
     from .packing import pack_documents
@@ -39,6 +48,13 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's line counts and the digest of the text that stays."""
+    from .line_dedup import line_report
+
+    return line_report(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for toxicity."""
     from .toxicity import score_toxicity
@@ -48,10 +64,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
+    "op4_mix_sources": op4_mix_sources,
     "op5_pack_sequences": op5_pack_sequences,
     "op6_quality": op6_quality,
     "op7_media": op7_media,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.oracle_sql()}

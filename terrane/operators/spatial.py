@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import rings
+from .lineage import cut
 
 
 def _cells(low: str, high: str, size: float) -> str:
@@ -80,7 +81,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, *, query: str = "q"
         out = done if out is None else out.union(done)
         if last:
             return out
-        asked = asked.join(full, query, "left_anti").checkpoint()
+        asked = cut(asked.join(full, query, "left_anti"))
         if asked.isEmpty():
             return out
         reach *= 2

@@ -134,5 +134,5 @@ def membership(value: str, active_at: float = 0.5, very_at: float = 0.9) -> str:
 
 def radical_inverse(index: str, base: int, digits: int = 24) -> str:
     """Halton's radical inverse of a non-negative integer, digit by digit."""
-    terms = [f"pmod(floor(({index}) / {base**k}.0e0), {base}) * {1 / base ** (k + 1)!r}" for k in range(digits)]
+    terms = [f"pmod(floor(({index}) / {base**k}.0e0), {base}) * cast({1 / base ** (k + 1)!r} as double)" for k in range(digits)]
     return "(" + " + ".join(terms) + ")"

@@ -37,7 +37,9 @@ def parse_results(logs: DataFrame, text: str = "text") -> DataFrame:
     sound = F.col("success").isNotNull()
     for n in METRICS:
         sound = sound & F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
-    return out.withColumns({n: F.when(sound & (F.col("success") | F.lit(n not in NULLED)), F.col(n)) for n in METRICS}).withColumn("success", F.when(sound, F.col("success"))).drop("_line")
+    out = out.withColumn("_sound", sound)
+    out = out.withColumns({n: F.when(F.col("_sound") & (F.col("success") | F.lit(n not in NULLED)), F.col(n)) for n in METRICS})
+    return out.withColumn("success", F.when(F.col("_sound"), F.col("success"))).drop("_line", "_sound")
 
 
 def summarize(runs: DataFrame, by: tuple[str, ...] = ("planner", "mode"), metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -98,4 +100,4 @@ def csv_field(column: str) -> Column:
 
 def shown(column: str, digits: int = 3) -> Column:
     """A number with fixed digits, an em dash for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", F.col(column)), F.lit("—"))
+    return F.when(F.col(column).isNull(), "—").otherwise(F.format_string(f"%.{digits}f", F.col(column)))

@@ -20,9 +20,11 @@ from ._features import SENTENCE_END, WORD, hashed, segments
 from ._labels import SAMPLE_ROWS, held_out, labelled_sample
 
 BITS, ORDERS = 20, (5,)
-EPOCHS, RATE, DECAY, START_BIAS = 12, 0.5, 1e-5, -5.0
-#: A feature is learnt if so many sampled documents have it, and its log odds between the two labels are so large.
-LEAST_DOCS, LEAST_LOG_ODDS = 4, 0.7
+EPOCHS, RATE, DECAY, START_BIAS = 20, 0.5, 1e-5, -5.0
+#: A feature is learnt if more toxic documents of the sample have it than expected, with so large a log-likelihood ratio.
+LEAST_EVIDENCE = 15.0
+#: How much a toxic document counts.
+WEIGHT = 3.0
 THRESHOLD = 0.5
 #: A sentence is named as offending from this score on.
 SENTENCE_THRESHOLD = 0.5
@@ -91,8 +93,11 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Toxicit
     seen_docs = np.zeros((2, size), dtype=np.int64)
     for text, label in zip(texts, y, strict=True):
         seen_docs[label, np.unique(np.concatenate([f for *_, f in _instances([text])]))] += 1
-    share = (seen_docs + 0.5) / (np.bincount(y, minlength=2)[:, None] + 1)
-    telling = (np.abs(np.log(share[1] / share[0])) >= LEAST_LOG_ODDS) & (seen_docs.sum(axis=0) >= LEAST_DOCS)
+    both = seen_docs.sum(axis=0)
+    expected = both * (np.bincount(y, minlength=2) / len(y))[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = 2 * np.where(seen_docs > 0, seen_docs * np.log(seen_docs / expected), 0).sum(axis=0)
+    telling = (evidence >= LEAST_EVIDENCE) & (seen_docs[1] > expected[1])
     bags: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     for text in texts:
         base, sentences, features = 0, [], []
@@ -119,7 +124,7 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Toxicit
             z = np.clip(np.bincount(sentence, weights[ids][at], n) + bias, -30, 30)
             p = 1 / (1 + np.exp(-z))
             whole = -np.expm1(-np.logaddexp(0, z).sum())
-            g = p if not y[i] else -p * (1 - whole) / max(whole, 1e-9)
+            g = p if not y[i] else -WEIGHT * p * (1 - whole) / max(whole, 1e-9)
             step = np.bincount(at, g[sentence], len(ids)) + DECAY * weights[ids]
             seen[ids] += step * step
             weights[ids] -= rate * step / np.sqrt(seen[ids])

@@ -31,7 +31,7 @@ def _cut(blob: bytes, at: int, stops: np.ndarray) -> int:
 
 
 def segments(texts: Sequence[str | None], lower: bool, stops: np.ndarray) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-    """(bytes, document index, start) of texts laid end to end, each followed by a line feed.
+    """(bytes, document index, start) of texts laid end to end, each between line feeds.
 
     A text of more than a segment comes in several, cut after a stop; a null
     text is empty.
@@ -59,16 +59,17 @@ def segments(texts: Sequence[str | None], lower: bool, stops: np.ndarray) -> Ite
 
 
 def _joined(parts: list[bytes], docs: list[int]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    starts = np.zeros(len(parts), dtype=np.int64)
-    np.cumsum([len(x) + 1 for x in parts[:-1]], out=starts[1:])
-    return b"\n".join(parts) + b"\n", np.asarray(docs), starts
+    starts = np.ones(len(parts), dtype=np.int64)
+    starts[1:] += np.cumsum([len(x) + 1 for x in parts[:-1]], dtype=np.int64)
+    return b"\n" + b"\n".join(parts) + b"\n", np.asarray(docs), starts
 
 
 def hashed(blob: bytes, separators: np.ndarray, orders: Sequence[int], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(position, feature) arrays: first of whole words, then of each order of character n-grams.
 
     Words are runs without separators. An n-gram lies within a word and the
-    separator on either side, which counts as a space.
+    separator on either side, which counts as a space; its position is its
+    second byte, always of the word.
     """
     raw = np.frombuffer(blob, dtype=np.uint8)
     outside = separators[raw]
@@ -96,5 +97,5 @@ def hashed(blob: bytes, separators: np.ndarray, orders: Sequence[int], bits: int
             continue
         last = len(raw) - n + 1
         at = np.flatnonzero(gaps[n - 1 : n - 1 + last] == gaps[1 : 1 + last])
-        out.append((at, feature(at, at + n, at, n)))
+        out.append((at + 1, feature(at, at + n, at, n)))
     return out

@@ -36,24 +36,25 @@ class QualityModel:
         """The probability of label 1 for each whole text; a text without words has the bias's."""
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
         for blob, docs, starts in segments(texts, False, SPACE):
-            for at, feature in _features(blob):
+            for at, feature in _features(blob, starts):
                 own = np.searchsorted(starts, at, side="right") - 1
                 total += np.bincount(docs[own], self.direction[feature], len(texts))
                 count += np.bincount(docs[own], minlength=len(texts))
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
 
 
-def _features(blob: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+def _features(blob: bytes, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     found = hashed(blob, SPACE, ORDERS, BITS)
     at, word = found[0]
-    again = at[1:][word[1:] == word[:-1]]
+    own = np.searchsorted(starts, at, side="right")
+    again = at[1:][(word[1:] == word[:-1]) & (own[1:] == own[:-1])]
     return [*found, (again, np.full(len(again), REPEAT, dtype=np.int32))]
 
 
 def _bags(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The distinct features of each text and their shares."""
     for text in texts:
-        found = [f for blob, _, _ in segments([text], False, SPACE) for _, f in _features(blob)]
+        found = [f for blob, _, starts in segments([text], False, SPACE) for _, f in _features(blob, starts)]
         ids, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, int), np.zeros(0, int))
         yield ids, (counts / max(1, counts.sum())).astype(np.float32)
 

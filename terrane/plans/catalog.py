@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import rings
-from ..operators import decompose, graph, labels, planners, runs, sampling, scoring, spatial, voxels
+from ..operators import decompose, graph, labels, maps, planners, prepare, runs, sampling, scoring, spatial, voxels
 from ..streaming import decay
 from . import relations as rel
 
@@ -521,6 +521,84 @@ def planner_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planners.run_jobs(jobs, maps, iterations=400)
 
 
+_HOLE = ((20.0, 20.0), (30.0, 20.0), (30.0, 30.0), (20.0, 30.0))
+
+
+def _rings(spark: SparkSession, **named: tuple) -> DataFrame:
+    return spark.createDataFrame([(k, o, x, y) for k, ring in named.items() for o, (x, y) in enumerate(ring)], "id string, ord int, x double, y double")
+
+
+_TO_HOLE = "sqrt(greatest(20 - x, x - 30, 0) * greatest(20 - x, x - 30, 0) + greatest(20 - y, y - 30, 0) * greatest(20 - y, y - 30, 0))"
+
+
+@query(rel.sql(f"select pid, x <= 50 and y <= 50 as inside, x between 20 and 30 and y between 20 and 30 as blocked, x <= 50 and y <= 50 and not (x between 20 and 30 and y between 20 and 30) and least(x, y, 50 - x, 50 - y, {_TO_HOLE}) + 1e-9 >= 1 as valid from points", "points"))
+def state_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boundary = _rings(spark, b=((0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0)))
+    return maps.state_validity(rel.points(spark, sf_dir), boundary, _rings(spark, h=_HOLE), 1.0).drop("clearance")
+
+
+@query(rel.sql("select pid as sid, case when x >= 20 and y >= 20 then least(greatest(y - 30, 0), 1e9) <= 0 or x <= 30 else x <= 30 and y >= 20 end as unused, y <= 19 or x > 31 as clear from points", "points").replace("case when x >= 20 and y >= 20 then least(greatest(y - 30, 0), 1e9) <= 0 or x <= 30 else x <= 30 and y >= 20 end as unused, ", "").replace("y <= 19 or x > 31", "x < 19 or x > 31 or y < 19"))
+def segment_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertical segments from the floor up to each point against the walls of a square hole; a clearance of 1 is open to rounding at the corners, so points near them are as the box says."""
+    p = rel.points(spark, sf_dir).selectExpr("pid as sid", "x as ax", "0.0e0 as ay", "x as bx", "y as by")
+    out = maps.segment_validity(p, rings.edges(_rings(spark, h=_HOLE)), 1.0)
+    box = p.selectExpr("sid", "greatest(20 - ax, ax - 30, 0.0e0) as dx", "greatest(20 - by, 0.0e0) as dy")
+    return out.join(box, "sid").selectExpr("sid", "greatest(dx, dy) > 1 + 1e-9 or (dx > 0 and dy > 0 and greatest(dx, dy) > 1 + 1e-9) or (free and not (dx <= 1 and dy <= 1)) as clear")
+
+
+@query(rel.sql("select cast(id as varchar) as id, 'crossing' as problem from quads0 where id % 4 = 1", "quads0"))
+def ring_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth ring with two vertices exchanged, so that its edges cross."""
+    v = rel.quads(spark, sf_dir).selectExpr("cast(id as string) as id", "cast(case when id % 4 = 1 and ord in (1, 2) then 3 - ord else ord end as int) as ord", "x", "y")
+    return maps.ring_problems(v).where("problem = 'crossing'")
+
+
+@query("select 'a' as a, 'b' as b")
+def overlapping_obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    square = lambda x, y, s: ((x, y), (x + s, y), (x + s, y + s), (x, y + s))
+    return maps.overlapping(_rings(spark, a=square(0.0, 0.0, 4.0), b=square(2.0, 3.0, 4.0), c=square(6.0, 3.0, 4.0), d=square(30.0, 30.0, 1.0)))
+
+
+@query()
+def noise_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels.threshold_at_fill(maps.noise_cloud(spark, (12, 12, 4)), "value", 0.3)
+
+
+@query()
+def maze_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maps.maze_walls(spark.range(42, 45).withColumnRenamed("id", "seed"), 21, 15)
+
+
+@query("select 'b' as id, x, y, z from (select unnest([0.0, 0.5, 1.0]) as x) a, (select unnest([0.0, 0.5]) as y) b, (select unnest([1.0, 1.5, 2.0]) as z) c union all select 'c', x, y, z from (select unnest([-1.0, -0.5, 0.0, 0.5, 1.0]) as x) a, (select unnest([-1.0, -0.5, 0.0, 0.5, 1.0]) as y) b, (select unnest([0.0, 0.5]) as z) c where x * x + y * y <= 1")
+def furniture_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = spark.createDataFrame([("b", 0.0, 0.0, 1.0, 1.0, 0.5, 2.0)], "id string, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    posts = spark.createDataFrame([("c", 0.0, 0.0, 1.0, 0.0, 0.5)], "id string, cx double, cy double, r double, z0 double, z1 double")
+    return maps.box_cloud(boxes, 0.5).union(maps.cylinder_cloud(posts, 0.5))
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = rel.cell_edges(spark, sf_dir).withColumn("graph", F.lit("grid"))
+    ends = spark.createDataFrame([("grid", "NATION_0", "start"), ("grid", "NATION_24", "goal")], "graph string, id string, role string")
+    features = rel.cells(spark, sf_dir).selectExpr("'grid' as graph", "id", "5.0e0 as inradius", "case when k % 5 = 0 then null else 1.0e0 + k % 4 end as ellipse_ratio")
+    portals = graph.undirected(e).selectExpr("'grid' as graph", "a", "b", "5.0e0 as portal_inradius", "1.5e0 as required_clearance")
+    return prepare.prepare(e, ends, features, portals)
+
+
+@query(rel.sql(_PATHS + ", best as (select path from walk where here = 'NATION_24' order by cost, path limit 3) select c.id, cast(count(distinct b.path) as int) as hits, round(count(distinct b.path) / 3.0e0, 6) as fraction, cast((select count(*) from cell_edges e where e.source = c.id) as int) as degree, (select min(cost) from walk w where w.here = c.id) as from_start, 'active' as open_level from cells c left join best b on list_contains(b.path, c.id) group by c.id", "cells", "cell_edges", recursive=True))
+def prepared_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_prepared(spark, sf_dir)[0].select("id", "hits", "fraction", "degree", "from_start", "open_level"), "fraction")
+
+
+@query()
+def prepared_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prepared(spark, sf_dir)[1]
+
+
+@query("select 'grid' as graph, 'connected' as status, 3 as returned")
+def prepared_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prepared(spark, sf_dir)[2]
+
+
 # Events (Spark-native).
 
 

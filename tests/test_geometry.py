@@ -168,3 +168,45 @@ def test_decay_stream_equals_batch(spark, tmp_path):
     for epoch in (1, 2):
         batch = sampling.density_decay(regions, spark.createDataFrame([(s, i) for _, s, i in rows if s <= 5 * epoch], "seq bigint, id string"), interval=5)
         assert {(epoch, r.id): (r.nodes, round(r.adjusted, 9)) for r in batch.collect()} == {k: v for k, v in got.items() if k[0] == epoch}
+
+
+def facts(spark, connections, starts=("S",), goals=("G",), k=3):
+    rows = [("m", a, b, float(w)) for x, y, w in connections for a, b in ((x, y), (y, x))]
+    ends = [("m", x, "start") for x in starts] + [("m", x, "goal") for x in goals]
+    out = graph.route_facts(spark.createDataFrame(rows, "graph string, source string, target string, cost double"), spark.createDataFrame(ends, "graph string, id string, role string"), k).collect()
+    return {r.a if r.b is None else (r.a, r.b): r for r in out}
+
+
+def test_shared_edge_of_all_sequences_need_not_be_mandatory(spark):
+    f = facts(spark, [("S", "A", 1), ("A", "B", 1), ("B", "G", 1), ("A", "C", 1), ("C", "G", 1), ("A", "D", 1), ("D", "G", 1), ("S", "Z", 50), ("G", "Z", 50)])
+    assert f["A", "S"].hits == f["A", "S"].returned == 3 and not f["A", "S"].mandatory
+
+
+def test_pockets_and_alternatives(spark):
+    f = facts(spark, [("S", "A", 1), ("A", "G", 1), ("S", "B", 2), ("B", "G", 2), ("B", "P", 1), ("P", "Q", 1)])
+    assert f["P"].in_pocket and f["Q"].in_pocket and not f["B"].in_pocket and f["Q"].degree == 1
+    assert f["B"].on_alternative and f["B", "S"].on_alternative and not f["P"].on_alternative and not f["A"].on_alternative
+
+
+def test_cycles_off_the_route_are_off_it(spark):
+    f = facts(spark, [("S", "A", 1), ("A", "G", 1), ("A", "X", 1), ("X", "Y", 1), ("A", "Y", 1)])
+    assert {v for v, r in f.items() if isinstance(v, str) and r.on_route} == {"S", "A", "G"} and f["A", "S"].mandatory
+
+
+def test_disconnected_ends(spark):
+    f = facts(spark, [("S", "A", 1), ("G", "B", 1)])
+    assert f["S"].returned == 0 and f["A", "S"].on_alternative is None and f["G"].from_start is None
+
+
+def test_every_open_cell_of_a_maze_is_reached(spark):
+    from terrane.operators import maps
+
+    walls = {(r.i, r.j) for r in maps.maze_walls(spark.range(1).withColumnRenamed("id", "seed"), 21, 15).collect()}
+    open_ = {(i, j) for i in range(21) for j in range(15)} - walls
+    seen, todo = {(0, 0)}, [(0, 0)]
+    for i, j in todo:
+        for c in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+            if c in open_ and c not in seen:
+                seen.add(c)
+                todo.append(c)
+    assert len(walls) > 40 and seen == open_

@@ -27,8 +27,8 @@ BANDS, ROWS = 10, 3
 SIMILARITY = 0.8
 #: Pairs whose signatures agree in fewer of the 30 places are not read again; at a similarity of 0.8 that happens to one pair in 5000.
 LEAST_AGREE = 16
-#: Hubs that a bucket tries in each of its rounds before it is split by a further band.
-HUBS = (1, 8)
+#: Hubs that a bucket tries in its first and second round, and in the one round of each split by a further band.
+HUBS = (1, 8, 4)
 
 _ROWS_AT_ONCE = 1024
 _FEATURE_SHIFT = np.uint64(64 - FEATURE_BITS)
@@ -225,9 +225,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
     with the most bucket mates over all bands is the hub that the others are
     verified against; those it does not match try up to eight hubs of their
     own, and what is left then is split by each further band that two of them
-    share, until no bucket holds two. So pairs stay linear in a bucket's size,
-    no bucket is cut off, and a pair of 0.8 is still met with the probability
-    that its bands give.
+    share, with four hubs a split, until no bucket holds two or a whole round
+    of splits has found no link. So pairs stay linear in a bucket's size and no
+    bucket is cut off by its size.
 
     Null and empty texts are equal to each other and to nothing else; a text
     without words links only to equal texts; under five words the whole text
@@ -253,7 +253,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
     links = tried = None
     rounds, last = 0, "active"
     while not active.isEmpty():
-        most = HUBS[rounds % len(HUBS)]
+        most = HUBS[min(rounds, len(HUBS) - 1)]
         if most == 1:
             hubs = active.groupBy("bucket").agg(F.expr("max_by(rep, struct(busy, -rep))").alias("hub")).select("bucket", "hub", F.lit(1).alias("turn"))
         else:
@@ -272,7 +272,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
         linked = links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
         done = met.join(linked, ["lo", "hi"], "left_semi").select("bucket", "rep").distinct()
         left = active.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti").join(done, ["bucket", "rep"], "left_anti")
-        if (rounds + 1) % len(HUBS) == 0:
+        if rounds:
             deeper = left.join(held.select("rep", F.col("bucket").alias("next")), "rep").where("not array_contains(path, next)")
             left = deeper.select("rep", "busy", F.array_sort(F.array_append("path", F.col("next"))).alias("path")).withColumn("bucket", F.xxhash64("path")).dropDuplicates(["bucket", "rep"]).select("rep", "bucket", "path", "busy")
         still = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
@@ -280,6 +280,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
         tmp.drop(last, f"hubs{rounds}")
         last = f"active{rounds}"
         rounds += 1
+        if rounds >= len(HUBS) and found.isEmpty():
+            break
     if links is not None:
         roots = components(links, tmp)
         reps = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("rep"))

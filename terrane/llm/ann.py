@@ -129,10 +129,13 @@ def build(vectors: np.ndarray, keys: np.ndarray) -> Graph:
     while at < n:
         stop = min(n, at + min(BATCH, at))
         batch = np.arange(at, stop)
+        # All walks come first, on the graph as it is, so that none starts at a point of its own batch.
+        walks = []
         for level in range(int(levels[at]), -1, -1):
             own = batch[levels[batch] >= level]
+            walks.append((level, own, graph.walk(vectors[own], graph.descend(vectors[own], level), level, BREADTH_BUILD)[0]))
+        for level, own, found in walks:
             q = vectors[own]
-            found, _ = graph.walk(q, graph.descend(q, level), level, BREADTH_BUILD)
             # Points of one batch may be neighbours too: earlier ones are candidates of later ones.
             mates = np.where(own[None, :] < own[:, None], own[None, :], -1)
             cand = np.concatenate([found, mates], axis=1)

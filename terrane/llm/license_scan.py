@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 #: A line with one of these, in any case, is a candidate.
 TERMS = ("licen", "copyright", "all rights reserved", "permission is hereby", "permission to use", "redistribution and use", "public domain", "spdx")
-#: Lines without a term that a block bridges.
-BRIDGE = 6
+#: Lines before and after those with terms that belong to a block.
+AROUND = 6
 #: Differing words that a template of so many words may have (one in ten, rounded down).
 TOLERANCE = 0.1
 #: Words that tell licenses apart: none of them may differ, nor a word with a digit.
@@ -72,20 +72,20 @@ class Finding:
 
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(first line, text) of each run of lines with terms, bridging up to BRIDGE others."""
+    """(first line, text) of each run of lines with terms, with AROUND lines on either side; runs that meet are one."""
     low = text.lower()
     if not any(t in low for t in TERMS):
         return
     lines = text.split("\n")
     hits = [k for k, line in enumerate(lines) if any(t in (x := line.lower()) for t in TERMS)]
-    first = last = hits[0] if hits else -1
-    for k in hits[1:]:
-        if k - last > BRIDGE + 1:
-            yield first, "\n".join(lines[first : last + 1])
-            first = k
-        last = k
-    if hits:
-        yield first, "\n".join(lines[first : last + 1])
+    runs: list[list[int]] = []
+    for k in hits:
+        if runs and k - AROUND <= runs[-1][1]:
+            runs[-1][1] = k + AROUND + 1
+        else:
+            runs.append([max(0, k - AROUND), k + AROUND + 1])
+    for first, end in runs:
+        yield first, "\n".join(lines[first:end])
 
 
 class Scanner:
@@ -106,10 +106,12 @@ class Scanner:
     def confirm(self, template: int, found: list[str]) -> tuple[int, int, list[str]] | None:
         """(first word, end word, differences) of the template's place among the words, None if its wording differs too much."""
         want = self.templates[template][1]
+        slack = int(len(want) * TOLERANCE)
+        if len(set(want).difference(found)) > slack:
+            return None
         anchor = SequenceMatcher(None, want, found, autojunk=False).find_longest_match()
         if not anchor.size:
             return None
-        slack = int(len(want) * TOLERANCE)
         low = max(0, anchor.b - anchor.a - slack)
         high = min(len(found), anchor.b - anchor.a + len(want) + slack)
         match = SequenceMatcher(None, want, found[low:high], autojunk=False)

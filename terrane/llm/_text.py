@@ -10,10 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text hashed in one numpy call; longer texts are cut between words.
 SEGMENT = 1 << 20
 SHINGLE_WORDS = 5
+#: Bytes of text that a worker takes out of an Arrow batch at a time.
+TAKEN = 4 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -127,3 +131,16 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
     at = np.flatnonzero(first)
     return ordered[at], np.diff(np.append(at, len(ordered)))
+
+
+def taken(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about TAKEN bytes in a text column, a row at least: what bounds a worker's memory."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+        total = np.cumsum(size)
+        low = 0
+        while low < batch.num_rows:
+            before = int(total[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(total, before + TAKEN, side="right")))
+            yield batch.slice(low, high - low)
+            low = high

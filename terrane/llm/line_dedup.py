@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import Scratch
-from ._text import _INVERSE, _MULTIPLIER, SEGMENT, hash_blob, mix
+from ._text import _INVERSE, _MULTIPLIER, SEGMENT, hash_blob, mix, taken
 
 #: Lines of fewer words are compared for equality only.
 MIN_WORDS = 8
@@ -116,7 +116,7 @@ class _Lines:
 
 
 def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in taken(batches, 1):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         lines = _Lines(batch.column(1).to_pylist())
         keep = np.flatnonzero(lines.n > 0)
@@ -141,7 +141,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in taken(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zip_.compress((x or "").encode("utf-8", "surrogatepass")) for x in batch.column(1).to_pylist()], pa.binary())], ["doc", "z"])
 
     return docs.mapInArrow(squeeze, "doc bigint, z binary")
@@ -149,7 +149,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _candidate_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unzip = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in taken(batches, 1):
         docs, numbers, out = [], [], []
         for doc, z, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             lines = unzip.decompress(z).decode("utf-8", "surrogatepass").split("\n")
@@ -162,14 +162,14 @@ def _candidate_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in taken(batches, 2):
         lines = _Lines([x.replace("\n", " ") for x in batch.column(2).to_pylist()])
         line, key, place = lines.variants()
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(line)), batch.column(1).take(pa.array(line)), pa.array(key.view(np.int64)), pa.array(place, pa.int32())], ["doc", "line", "key", "place"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in taken(batches, 2):
         keep = [within_one(_word_lists(a), _word_lists(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield batch.select(["doc", "line"]).filter(pa.array(keep, pa.bool_()))
 
@@ -227,13 +227,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, keep_empty: bool = True
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in taken(batches, at):
             z = pa.array([None if x is None else zip_.compress(x.encode("utf-8", "surrogatepass")) for x in batch.column(at).to_pylist()], pa.binary())
             yield batch.set_column(at, batch.schema.names[at], z)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in taken(batches, at):
             texts: list[str | None] = [None if z is None else unzip.decompress(z).decode("utf-8", "surrogatepass") for z in batch.column(at).to_pylist()]
             before, cut, stays = [], [], []
             for i, (text, gone) in enumerate(zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):

@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._text import taken
+
 SYMBOLS, ORDER = 40, 4
 GRAMS = SYMBOLS**ORDER
 #: Weight, in tokens, of the next shorter context's estimate.
@@ -111,7 +113,7 @@ def _counted(marked: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, GRAMS), dtype=np.int64)
         unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in taken(batches, 0):
             marks = batch.column(1).to_pylist()
             for which in (0, 1):
                 texts = [unzip.decompress(z).decode("utf-8", "surrogatepass") for z, m in zip(batch.column(0).to_pylist(), marks, strict=True) if bool(m) == bool(which)]
@@ -136,7 +138,7 @@ def train(docs: DataFrame, targets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in taken(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zip_.compress((x or "").encode("utf-8", "surrogatepass")) for x in batch.column(1).to_pylist()], pa.binary())], ["key", "z"])
 
     moved = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").alias("words")).mapInArrow(squeeze, "key bigint, z binary")
@@ -161,7 +163,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, targets: DataFrame) ->
     target, background = train(docs, targets)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in taken(batches, 1):
             n = np.zeros(batch.num_rows, dtype=np.int64)
             losses = np.zeros((2, batch.num_rows))
             for i, g in grams(batch.column(1).to_pylist()):

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._text import taken
+
 #: Payloads are padded with bytes 255 to a positive multiple of this.
 UNIT = 576
 BLOCK = 64
@@ -345,7 +347,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in taken(batches, 1):
             texts = batch.column(1).to_pylist()
             at = 0
             while at < len(texts):

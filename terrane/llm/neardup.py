@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._store import Scratch
-from ._text import SHINGLE_WORDS, distinct, mix, shingle_hashes, word_hashes
+from ._text import SHINGLE_WORDS, distinct, mix, shingle_hashes, taken, word_hashes
 
 FEATURE_BITS = 18
 BANDS, ROWS = 10, 3
@@ -130,7 +130,7 @@ def feature_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
         seen = np.zeros(size, dtype=np.int64)
         n = waiting = 0
         found: list[np.ndarray] = []
-        for batch in batches:
+        for batch in taken(batches, 0):
             for _, words in word_hashes(batch.column(0).to_pylist()):
                 keys, _ = distinct(shingle_hashes(words))
                 found.append((keys >> _FEATURE_SHIFT).astype(np.int32))
@@ -156,7 +156,7 @@ def _signatures(docs: DataFrame, idf: np.ndarray, doc_id: str, text: str) -> Dat
     import hashlib
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in taken(batches, 1):
             texts = batch.column(1).to_pylist()
             sigs, bands, n, same = [], [], [], []
             for i, words in word_hashes(texts):
@@ -199,7 +199,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: f
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, None
-        for batch in batches:
+        for batch in taken(batches, 3):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found = np.zeros(len(a), dtype=bool)
             for i, words in word_hashes(batch.column(3).to_pylist()):

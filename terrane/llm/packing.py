@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import Scratch
+from ._text import taken
 
 CAPACITY = 1024
 END_ID = 2
@@ -205,7 +206,7 @@ def _pieces(docs: DataFrame, path: str, ranks_path: str, pattern: str, capacity:
         words = tokenizer(path, ranks_path, pattern)
         end = np.array([end_id], dtype="<u4").tobytes()
         n = 0
-        for batch in batches:
+        for batch in taken(batches, 1):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = words.ids(text or "") + end

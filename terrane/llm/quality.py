@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from ._features import SPACE, hashed, segments
 from ._labels import SAMPLE_ROWS, held_out, labelled_sample
+from ._text import taken
 
 BITS, DIM, ORDERS = 18, 16, (3, 4)
 EPOCHS, RATE = 4, 0.15
@@ -113,7 +114,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS
     model = train(*labelled_sample(docs, labels, "quality", rows))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in taken(batches, 1):
             ids = batch.column(0).to_pylist()
             p = model.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(x) for x in ids], pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from ._features import SENTENCE_END, WORD, hashed, segments
 from ._labels import SAMPLE_ROWS, held_out, labelled_sample
+from ._text import taken
 
 BITS, ORDERS = 20, (5,)
 EPOCHS, RATE, DECAY, START_BIAS = 20, 0.5, 1e-5, -5.0
 #: A feature is learnt if more toxic documents of the sample have it than expected, with so large a log-likelihood ratio.
-LEAST_EVIDENCE = 15.0
+LEAST_EVIDENCE = 10.0
 #: How much a toxic document counts.
 WEIGHT = 3.0
 THRESHOLD = 0.5
@@ -135,7 +136,7 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Toxicit
 
 def _score_frame(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in taken(batches, 1):
             ids = batch.column(0).to_pylist()
             p = np.clip(model.scores(batch.column(1).to_pylist()), 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(x) for x in ids], pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -159,7 +160,7 @@ def offending_sentences(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPL
     model = train(*labelled_sample(docs, labels, "toxic", rows))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in taken(batches, 1):
             found = [(i, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in model.offending(text, threshold)]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in found], pa.int64()), "sentence": pa.array([x[1] for x in found], pa.string()), "score": pa.array([x[2] for x in found], pa.float64())})
 
@@ -172,7 +173,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in taken(batches, at):
             p = model.scores(batch.column(at).to_pylist())
             yield batch.filter(pa.array(p < THRESHOLD))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import rings
-from ..operators import decompose, graph, labels, maps, planners, prepare, runs, sampling, scoring, spatial, voxels
+from ..operators import decompose, graph, labels, maps, planners, prepare, runs, sampling, scoring, spatial, traces, voxels
 from ..streaming import decay
 from . import relations as rel
 
@@ -599,6 +599,59 @@ def prepared_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prepared(spark, sf_dir)[2]
 
 
+# Traces.
+
+_TRACE = "select user_id as run, event_id as seq, event_id % 17 as child, event_id % 13 as parent, value from events"
+
+
+def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.table(spark, sf_dir, "events").selectExpr("user_id as run", "event_id as seq", "event_id % 17 as child", "event_id % 13 as parent", "value")
+
+
+@query(f"select run, seq, child, parent, lag(parent) over (partition by run, child order by seq) as before from ({_TRACE}) t")
+def trace_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.replayed(_trace(spark, sf_dir))
+
+
+@query(f"select run, child, arg_max(parent, seq) as parent from ({_TRACE}) t group by run, child")
+def trace_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.tree_at_end(_trace(spark, sf_dir))
+
+
+@query(f"select run, greatest(count(*) - 20, 0) as dropped from ({_TRACE}) t group by run")
+def trace_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.capped(_trace(spark, sf_dir), 20)[1]
+
+
+@query(f"select run, seq, count(*) over w as held, round(avg(value) over w, 6) as mean from ({_TRACE}) t window w as (partition by run order by seq rows between 4 preceding and current row)")
+def sliding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(traces.sliding(_trace(spark, sf_dir), 5, "value").select("run", "seq", "held", "mean"), "mean")
+
+
+@query(f"select run, seq, coalesce(lag(child) over (partition by run order by seq), -1) as start, child as goal from ({_TRACE}) t")
+def chained_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _trace(spark, sf_dir).selectExpr("run", "seq", "cast(-1 as bigint) as start", "child as goal")
+    return traces.chained_starts(t).select("run", "seq", "start", "goal")
+
+
+@query("select id, ord, x, y from (select *, lag(x) over w as px, lag(y) over w as py from (select user_id as id, event_id as ord, cast(event_id % 3 as double) as x, cast(event_id % 2 as double) as y from events) e window w as (partition by id order by ord)) p where px is null or (x - px) * (x - px) + (y - py) * (y - py) > 0.25")
+def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = rel.table(spark, sf_dir, "events").selectExpr("user_id as id", "event_id as ord", "cast(event_id % 3 as double) as x", "cast(event_id % 2 as double) as y")
+    return traces.without_repeats(p, 0.5)
+
+
+@query("select node, max(case when leaf = 'a' then v end) as a, max(case when leaf = 'b' then v end) as b from (select 'n' || (n_nationkey % 3) as node, case when n_nationkey % 2 = 0 then 'a' else 'b' end as leaf, arg_max('v' || n_nationkey, n_nationkey) as v from nation group by 1, 2) p group by node")
+def nested_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = rel.table(spark, sf_dir, "nation").selectExpr("n_nationkey as ord", "concat('n', cast(n_nationkey % 3 as string), '/', case when n_nationkey % 2 = 0 then 'a' else 'b' end) as name", "concat('v', cast(n_nationkey as string)) as value")
+    return traces.nested_parameters(p).selectExpr("node", "settings['a'] as a", "settings['b'] as b")
+
+
+@query("select draw, arg_min(x, attempt) filter (where x > 0.5) as x from (select c_custkey as draw, a as attempt, cast((c_custkey * 31 + a * 7) % 100 as double) / 100 as x from customer, (select unnest(range(3)) as a) s) c group by draw")
+def rejection_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = rel.table(spark, sf_dir, "customer").selectExpr("c_custkey as draw", "explode(sequence(0, 4)) as attempt").selectExpr("draw", "attempt", "cast((draw * 31 + attempt * 7) % 100 as double) / 100 as x", "0.0e0 as y")
+    return traces.first_accepted(c, "x > 0.5", 3).select("draw", "x")
+
+
 # Events (Spark-native).
 
 

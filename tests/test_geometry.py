@@ -210,3 +210,18 @@ def test_every_open_cell_of_a_maze_is_reached(spark):
                 seen.add(c)
                 todo.append(c)
     assert len(walls) > 40 and seen == open_
+
+
+def test_repair_makes_neighbours_share_their_border():
+    from terrane.operators.repair import repair
+
+    boundary = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]
+    e = 4e-4
+    rings = [
+        [(0 + e, 0), (2 + e, 0 - e), (2 - e, 3 + e), (0, 3 - e)],
+        [(2, 0 + e), (4 - e, 0), (4, 1.5 + e), (2 + 2 * e, 1.5)],
+        [(2 - 2 * e, 1.5 + e), (4 + e, 1.5), (4, 3 - e), (2, 3)],
+    ]
+    out, moved, left = repair(rings, [boundary], 5e-3)
+    assert left <= 1e-9 and 0 < moved < 5e-3
+    assert sum(map(decompose.area, out)) == pytest.approx(12, abs=1e-9)

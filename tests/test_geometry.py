@@ -225,3 +225,11 @@ def test_repair_makes_neighbours_share_their_border():
     out, moved, left = repair(rings, [boundary], 5e-3)
     assert left <= 1e-9 and 0 < moved < 5e-3
     assert sum(map(decompose.area, out)) == pytest.approx(12, abs=1e-9)
+
+
+def test_functions_in_sql(spark):
+    from terrane.functions.register import register
+
+    names = register(spark)
+    row = spark.sql("select plane_cross(0, 0, 1, 0, 0, 1) as c, point_segment_distance(1, 2, 0, 0, 2, 0) as d, segments_intersect(0, 0, 2, 2, 0, 2, 2, 0) as x, soft_step(1e6, 0, 1) as s, soft_step_down(1e6, 0, 1) as t, membership_level(null) as m").first()
+    assert (row.c, row.d, row.x, row.s, row.t, row.m) == (1.0, 2.0, True, 1.0, 0.0, "unavailable") and len(names) == 10

@@ -28,7 +28,7 @@ SIMILARITY = 0.8
 #: Pairs whose signatures agree in fewer of the 30 places are not read again; at a similarity of 0.8 that happens to one pair in 5000.
 LEAST_AGREE = 16
 #: Hubs that a bucket tries in its first and second round, and in the one round of each split by a further band.
-HUBS = (1, 8, 4)
+HUBS = (1, 2, 1)
 
 _ROWS_AT_ONCE = 1024
 _FEATURE_SHIFT = np.uint64(64 - FEATURE_BITS)
@@ -223,9 +223,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
 
     Candidates share a band of their signatures. In each bucket the document
     with the most bucket mates over all bands is the hub that the others are
-    verified against; those it does not match try up to eight hubs of their
+    verified against; those it does not match try up to two hubs of their
     own, and what is left then is split by each further band that two of them
-    share, with four hubs a split, until no bucket holds two or a whole round
+    share, with one hub a split, until no bucket holds two or a whole round
     of splits has found no link. So pairs stay linear in a bucket's size and no
     bucket is cut off by its size.
 

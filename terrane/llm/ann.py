@@ -225,7 +225,8 @@ def build_index(vectors: DataFrame, tmp: Scratch, *, shard_vectors: int = SHARD_
         levels, links = dumps(build(v, first.view(np.uint64)))
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([table["shard"][0].as_py()], pa.int32()), "levels": pa.array([levels], pa.binary()), "links": pa.array([links], pa.binary()), "vectors": pa.array([v.astype("<f4").tobytes()], pa.binary()), "members": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64())))})
 
-    index = dealt.groupBy("dim", "shard").applyInArrow(make, "dim int, shard int, levels binary, links binary, vectors binary, members array<array<bigint>>")
+    # A partition for each shard: building is work by the point, which small bytes would hide from a coalescing planner.
+    index = dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(make, "dim int, shard int, levels binary, links binary, vectors binary, members array<array<bigint>>")
     return tmp.keep(index, "index"), shards
 
 
@@ -253,7 +254,7 @@ def nearest(spark: SparkSession, embeddings: DataFrame, *, vec_id: str = "vec_id
 
     asked = lots.groupBy("dim", "block").applyInArrow(lay, "dim int, ids array<bigint>, queries binary")
     asked = tmp.keep(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), "asked")
-    met = asked.join(index, ["dim", "shard"]).select("dim", "ids", "queries", "levels", "links", "vectors", "members")
+    met = asked.repartition(shards, "dim", "shard").join(index.repartition(shards, "dim", "shard"), ["dim", "shard"]).select("dim", "ids", "queries", "levels", "links", "vectors", "members")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

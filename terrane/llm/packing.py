@@ -252,6 +252,6 @@ def pack_documents(spark: SparkSession, docs: DataFrame, *, tokenizer_path: str
         block = table["block"][0].as_py()
         return table.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array((block << 32) + bins)).append_column("offset", pa.array(offset))
 
-    packed = dealt.groupBy("block").applyInArrow(fit, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    packed = dealt.repartition(blocks, "block").groupBy("block").applyInArrow(fit, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
     full = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.union(full)

@@ -271,13 +271,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
         tried = pairs.select("lo", "hi") if tried is None else tried.union(pairs.select("lo", "hi"))
         linked = links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
         done = met.join(linked, ["lo", "hi"], "left_semi").select("bucket", "rep").distinct()
-        left = active.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti").join(done, ["bucket", "rep"], "left_anti")
+        gone = hubs.select("bucket", F.col("hub").alias("rep")).union(done)
+        left = tmp.keep(active.join(gone, ["bucket", "rep"], "left_anti"), f"left{rounds}")
         if rounds:
             deeper = left.join(held.select("rep", F.col("bucket").alias("next")), "rep").where("not array_contains(path, next)")
             left = deeper.select("rep", "busy", F.array_sort(F.array_append("path", F.col("next"))).alias("path")).withColumn("bucket", F.xxhash64("path")).dropDuplicates(["bucket", "rep"]).select("rep", "bucket", "path", "busy")
         still = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
         active = tmp.keep(left.join(still, "bucket", "left_semi").select("rep", "bucket", "path", "busy"), f"active{rounds}")
-        tmp.drop(last, f"hubs{rounds}")
+        tmp.drop(last, f"hubs{rounds}", f"left{rounds}")
         last = f"active{rounds}"
         rounds += 1
         if rounds >= len(HUBS) and found.isEmpty():

@@ -3,6 +3,7 @@
 Blocks of lines around licensing terms are compressed with zstandard, plainly
 and with each template as a raw dictionary; the templates are ranked by the
 bytes they save, and a winner is confirmed by its exact wording differences.
+The bytes only rank: in a large block a notice can cost bytes and is confirmed all the same.
 """
 
 from __future__ import annotations
@@ -95,22 +96,21 @@ class Scanner:
 
     def __init__(self, templates: Sequence[tuple[str, str]] = TEMPLATES):
         self.templates = [(name, words(wording)) for name, wording in templates]
+        self.wanted = [frozenset(w) for _, w in self.templates]
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, w in self.templates]
 
     def ranked(self, block: str) -> tuple[int, list[tuple[int, int]]]:
-        """The block's plain size and (bytes saved, template) of all that save any, most first, ties to the longer then the earlier template."""
+        """The block's plain size and (bytes saved, template) of all, most first, ties to the longer then the earlier template."""
         raw = block.encode("utf-8", "surrogatepass")
         size = len(self.plain.compress(raw))
         saved = [(size - len(c.compress(raw)), k) for k, c in enumerate(self.given)]
-        return size, sorted((x for x in saved if x[0] > 0), key=lambda x: (-x[0], -len(self.templates[x[1]][1]), x[1]))
+        return size, sorted(saved, key=lambda x: (-x[0], -len(self.templates[x[1]][1]), x[1]))
 
     def confirm(self, template: int, found: list[str]) -> tuple[int, int, list[str]] | None:
         """(first word, end word, differences) of the template's place among the words, None if its wording differs too much."""
         want = self.templates[template][1]
         slack = int(len(want) * TOLERANCE)
-        if len(set(want).difference(found)) > slack:
-            return None
         anchor = SequenceMatcher(None, want, found, autojunk=False).find_longest_match()
         if not anchor.size:
             return None
@@ -128,7 +128,10 @@ class Scanner:
         return None if changed > slack or telling else (start, end, differences)
 
     def scan(self, text: str | None) -> list[Finding]:
-        """Every confirmed template of a whole text, in the order of its blocks; a winner's words are taken out and the rest is ranked again."""
+        """Every confirmed template of a whole text, in the order of its blocks; a winner's words are taken out and the rest is ranked again.
+
+        A confirmed template whose place lies within that of another is not the winner.
+        """
         out = []
         for line, block in blocks(text or ""):
             rest = block.lower()
@@ -136,15 +139,17 @@ class Scanner:
                 found = words(rest)
                 spans = [m.span() for m in _WORD.finditer(rest)]
                 size, order = self.ranked(" ".join(found))
-                for rank, (saved, k) in enumerate(order, 1):
-                    place = self.confirm(k, found)
-                    if place:
-                        low, high = spans[place[0]][0], spans[place[1] - 1][1]
-                        out.append(Finding(self.templates[k][0], line + rest[:low].count("\n"), size, saved, rank, place[2], rest[low:high]))
-                        rest = rest[:low] + re.sub(r"[^\n]", " ", rest[low:high]) + rest[high:]
-                        break
-                else:
+                known = set(found)
+                places = [(rank, saved, k, place) for rank, (saved, k) in enumerate(order, 1) if len(self.wanted[k] - known) <= int(len(self.templates[k][1]) * TOLERANCE) and (place := self.confirm(k, found))]
+                if not places:
                     break
+                rank, saved, k, place = places[0]
+                for other in places[1:]:
+                    if other[3][0] <= place[0] and place[1] <= other[3][1] and other[3][:2] != place[:2]:
+                        rank, saved, k, place = other
+                low, high = spans[place[0]][0], spans[place[1] - 1][1]
+                out.append(Finding(self.templates[k][0], line + rest[:low].count("\n"), size, saved, rank, place[2], rest[low:high]))
+                rest = rest[:low] + re.sub(r"[^\n]", " ", rest[low:high]) + rest[high:]
         return out
 
 

@@ -114,6 +114,13 @@ def test_short_notices_match_a_text_search(spark):
     assert got == want and len(want) > 20
 
 
+def test_notices_in_a_long_line_are_found():
+    scanner = license_scan.Scanner()
+    for name, notice in license_scan.TEMPLATES:
+        text = f"{prose(31, 10_000)} {notice} {prose(32, 10_000)}"
+        assert [(f.license, f.differences) for f in scanner.scan(text)] == [(name, [])], notice
+
+
 def test_license_odd_rows(spark):
     docs = odd_docs(spark).union(table(spark, [(50, "Released under the MIT License. " * 300, None, None), (None, "All rights reserved.", "en", "s")]))
     out = license_scan.scan_licenses(docs).collect()

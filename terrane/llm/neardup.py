@@ -27,8 +27,10 @@ BANDS, ROWS = 10, 3
 SIMILARITY = 0.8
 #: Pairs whose signatures agree in fewer of the 30 places are not read again; at a similarity of 0.8 that happens to one pair in 5000.
 LEAST_AGREE = 16
-#: Hubs that a bucket tries in its first and second round, and in the one round of each split by a further band.
-HUBS = (1, 2, 1)
+#: Members of a bucket that are compared at a time: a tile of a bucket is two such chunks.
+CHUNK = 512
+#: Pairs that a document brings forward from a tile in each round, the most agreeing first; in the last round all that are left.
+PARTNERS = (1, 16, 256, None)
 
 _ROWS_AT_ONCE = 1024
 _FEATURE_SHIFT = np.uint64(64 - FEATURE_BITS)
@@ -213,6 +215,90 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: f
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
+def _best(agree: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` that agree best of either member."""
+    keep = np.zeros(len(i), dtype=bool)
+    for side in (i, j):
+        order = np.lexsort((-agree, side))
+        first = np.flatnonzero(np.append(True, side[order][1:] != side[order][:-1]))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        keep[order[rank < most]] = True
+    return keep
+
+
+def _tile(band: int, inner: bool, left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], most: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(a, b, whether pairs are held back) of the candidates between two chunks, each (reps, roots, signatures)."""
+    (reps, roots, sigs), (others, other_roots, other_sigs) = left, right
+    same = sigs[:, None, :] == other_sigs[None, :, :]
+    shared = same.reshape(len(reps), len(others), BANDS, ROWS).all(axis=3)
+    agree = same.sum(axis=2)
+    # A pair belongs to its first common band.
+    good = shared[:, :, band] & ~shared[:, :, :band].any(axis=2) & (agree >= LEAST_AGREE) & (roots[:, None] != other_roots[None, :])
+    i, j = np.nonzero(np.triu(good, 1) if inner else good)
+    keep = np.ones(len(i), dtype=bool) if most is None else _best(agree[i, j], i, j, most)
+    return reps[i[keep]], others[j[keep]], not keep.all()
+
+
+def _candidates(members: DataFrame, most: int | None) -> DataFrame:
+    """(a, b) of the pairs in a bucket that are of different classes and agree in LEAST_AGREE places at least.
+
+    ``members`` is (bucket, band, rep, root, sig). All pairs of a bucket are
+    compared, by signatures alone, in tiles of two chunks. With ``most``, a
+    document brings its best so many from each tile; a row of nulls says that
+    others were held back.
+    """
+    large = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    dealt = members.join(large, "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("mine", F.expr("cast(pmod(xxhash64(rep), chunks) as int)"))
+    tiles = dealt.select("bucket", "band", "rep", "root", "sig", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    keys = ["bucket", "low", "high"]
+    rows = tiles.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "band", "rep", "root", "sig").repartition(*keys).sortWithinPartitions(*keys)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, bool]:
+            whole = pa.Table.from_batches(parts)
+            low, high, band = (whole.column(c)[0].as_py() for c in ("low", "high", "band"))
+            mine, reps, roots = (whole.column(c).to_numpy() for c in ("mine", "rep", "root"))
+            sigs = np.frombuffer(b"".join(whole.column("sig").to_pylist()), dtype=np.uint32).reshape(len(reps), -1)
+            sides = [(reps[at], roots[at], sigs[at]) for at in (mine == low, mine == high)]
+            return _tile(band, low == high, sides[0], sides[1], most)
+
+        def out(found: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            pairs = [np.minimum(a, b), np.maximum(a, b)]
+            held_back = any(f[2] for f in found)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(int(held_back), pa.int64())]) for x in pairs], ["a", "b"])
+
+        waiting: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in keys]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            found = []
+            for at, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                here = tuple(c[at] for c in columns)
+                if waiting and here != key:
+                    found.append(close(waiting))
+                    waiting = []
+                key = here
+                waiting.append(batch.slice(int(at), int(end - at)))
+            if found:
+                yield out(found)
+        if waiting:
+            yield out([close(waiting)])
+
+    return rows.mapInArrow(work, "a bigint, b bigint").distinct()
+
+
+def _classes(spark: SparkSession, links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
+    """(rep, root) of every linked document, kept."""
+    stars = Scratch(spark, "classes")
+    out = tmp.keep(components(links, stars).withColumnRenamed("node", "rep"), name)
+    stars.drop("")
+    return out
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id long, class_id long, n_shingles long), a row for each row of ``docs``.
 
@@ -221,13 +307,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
     for a document that stands alone. Exact copies (equal texts) share a class
     by a group key, without pairs.
 
-    Candidates share a band of their signatures. In each bucket the document
-    with the most bucket mates over all bands is the hub that the others are
-    verified against; those it does not match try up to two hubs of their
-    own, and what is left then is split by each further band that two of them
-    share, with one hub a split, until no bucket holds two or a whole round
-    of splits has found no link. So pairs stay linear in a bucket's size and no
-    bucket is cut off by its size.
+    Candidates share a band of their signatures. First each bucket's document
+    with the most bucket mates over all bands is verified against the others,
+    which brings a large group of copies into one class in linear time. Then
+    all pairs of a bucket whose documents are still in different classes are
+    compared by signature and those that agree verified, the best partners of
+    each document first; it ends when every candidate pair is linked, in one
+    class or rejected. Documents that are alike but not near (many of one
+    template) cost the square of their number.
 
     Null and empty texts are equal to each other and to nothing else; a text
     without words links only to equal texts; under five words the whole text
@@ -242,51 +329,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
     reps = signed.where("doc is not null").groupBy("same").agg(F.min("doc").alias("rep"))
     # A repeated id with two texts keeps a row for each text.
     own = tmp.keep(signed.join(reps.withColumnRenamed("rep", "doc"), ["doc", "same"]).select(F.col("doc").alias("rep"), "same", "sig", "bands").dropDuplicates(["rep", "same"]), "own")
-    spread = own.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("bucket"))
+    spread = own.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", "band", F.xxhash64("band", "h").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.countDistinct("rep").alias("mates")).where("mates > 1")
     held = tmp.keep(spread.distinct().join(sizes, "bucket"), "held")
-    busy = held.groupBy("rep").agg(F.sum("mates").alias("busy"))
-    active = tmp.keep(held.select("bucket", "rep", F.array("bucket").alias("path")).join(busy, "rep"), "active")
-    wanted = active.select("rep").distinct()
+    wanted = held.select("rep").distinct()
     sigs = tmp.keep(own.select("rep", "sig").join(wanted, "rep", "left_semi"), "sigs")
     texts = tmp.keep(docs.join(own.select(F.col("rep").alias("doc_id")).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct(), "texts")
-    links = tried = None
-    rounds, last = 0, "active"
-    while not active.isEmpty():
-        most = HUBS[min(rounds, len(HUBS) - 1)]
-        if most == 1:
-            hubs = active.groupBy("bucket").agg(F.expr("max_by(rep, struct(busy, -rep))").alias("hub")).select("bucket", "hub", F.lit(1).alias("turn"))
-        else:
-            hubs = active.selectExpr("bucket", "rep as hub", "row_number() over (partition by bucket order by busy desc, rep) as turn").where(F.col("turn") <= most)
-        hubs = tmp.keep(hubs, f"hubs{rounds}")
-        # A hub meets the later hubs of its bucket, and all that are no hubs.
-        ranked = active.join(hubs.withColumnRenamed("hub", "rep"), ["bucket", "rep"], "left")
-        met = ranked.join(hubs.withColumnRenamed("turn", "hub_turn"), "bucket").where("turn is null or turn > hub_turn").select("bucket", "rep", "hub", F.least("rep", "hub").alias("lo"), F.greatest("rep", "hub").alias("hi"))
-        pairs = met.groupBy("lo", "hi").agg(F.min("hub").alias("a")).select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b"), "lo", "hi")
-        if tried is not None:
-            pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
-        pairs = tmp.keep(pairs, f"pairs{rounds}")
-        found = tmp.keep(_verified(_agreeing(pairs.select("a", "b"), sigs), texts, idf, similarity).distinct(), f"links{rounds}")
-        links = found if links is None else links.union(found)
-        tried = pairs.select("lo", "hi") if tried is None else tried.union(pairs.select("lo", "hi"))
-        linked = links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-        done = met.join(linked, ["lo", "hi"], "left_semi").select("bucket", "rep").distinct()
-        gone = hubs.select("bucket", F.col("hub").alias("rep")).union(done)
-        left = tmp.keep(active.join(gone, ["bucket", "rep"], "left_anti"), f"left{rounds}")
-        if rounds:
-            deeper = left.join(held.select("rep", F.col("bucket").alias("next")), "rep").where("not array_contains(path, next)")
-            left = deeper.select("rep", "busy", F.array_sort(F.array_append("path", F.col("next"))).alias("path")).withColumn("bucket", F.xxhash64("path")).dropDuplicates(["bucket", "rep"]).select("rep", "bucket", "path", "busy")
-        still = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        active = tmp.keep(left.join(still, "bucket", "left_semi").select("rep", "bucket", "path", "busy"), f"active{rounds}")
-        tmp.drop(last, f"hubs{rounds}", f"left{rounds}")
-        last = f"active{rounds}"
-        rounds += 1
-        if rounds >= len(HUBS) and found.isEmpty():
+    names = ["signed", "own", "held", "sigs", "texts"]
+    busy = held.groupBy("rep").agg(F.sum("mates").alias("busy"))
+    hubs = held.join(busy, "rep").groupBy("bucket").agg(F.expr("max_by(rep, struct(busy, -rep))").alias("hub"))
+    met = held.join(hubs, "bucket").where("rep <> hub").select("hub", F.least("rep", "hub").alias("lo"), F.greatest("rep", "hub").alias("hi"))
+    pairs = met.groupBy("lo", "hi").agg(F.min("hub").alias("a")).select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b"))
+    links = tmp.keep(_verified(_agreeing(pairs, sigs), texts, idf, similarity).distinct(), "links")
+    roots = _classes(spark, links, tmp, "roots")
+    names += ["links", "roots"]
+    for k, most in enumerate(PARTNERS):
+        placed = held.join(roots, "rep", "left").select("bucket", "band", "rep", F.coalesce("root", "rep").alias("root"))
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+        members = tmp.keep(placed.join(mixed, "bucket", "left_semi").join(sigs, "rep"), f"members{k}")
+        pairs = tmp.keep(_candidates(members, most), f"pairs{k}")
+        tmp.drop(f"members{k}")
+        found = tmp.keep(_verified(pairs.where("a is not null"), texts, idf, similarity).distinct(), f"links{k}")
+        names += [f"pairs{k}", f"links{k}"]
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = _classes(spark, links, tmp, f"roots{k}")
+            names.append(f"roots{k}")
+        if pairs.where("a is null").isEmpty():
             break
-    if links is not None:
-        roots = components(links, tmp)
-        reps = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("rep"))
+    reps = reps.join(roots, "rep", "left").select("same", F.coalesce("root", "rep").alias("rep"))
     # Copies that share only an id (one id, two texts) meet in the smaller class.
     out = tmp.keep(signed.select("doc", "same", "n").join(reps, "same", "left").select(F.col("doc").alias("doc_id"), F.when(F.col("doc").isNotNull(), F.col("rep")).alias("class_id"), F.col("n").alias("n_shingles")), "out")
-    tmp.drop("signed", "own", "held", "sigs", "texts", last, *(f"{name}{i}" for name in ("links", "pairs") for i in range(rounds)))
+    tmp.drop(*names)
     return out

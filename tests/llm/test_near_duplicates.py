@@ -52,6 +52,25 @@ def test_classes_match_brute_force(spark):
     assert len(set(want)) < len(texts) - 15
 
 
+def classes_of(spark, texts):
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark, table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_chains_of_versions_match_brute_force(spark):
+    texts = []
+    for seed in range(60):
+        words = prose(seed, 250).split()
+        r = np.random.default_rng(seed)
+        for version in range(12):
+            texts.append(" ".join(words))
+            for at in r.choice(250, 4, replace=False):
+                words[at] = f"edit{seed}x{version}x{at}"
+    want = brute_classes(texts)
+    assert len(set(want)) < len(texts) / 4
+    assert classes_of(spark, texts) == want
+
+
 def test_samples_agree_like_the_similarity():
     r = np.random.default_rng(5)
     keys = np.sort(r.integers(0, 1 << 62, 600).astype(np.uint64))

@@ -71,6 +71,19 @@ def test_chains_of_versions_match_brute_force(spark):
     assert classes_of(spark, texts) == want
 
 
+def test_pairs_on_one_template_match_brute_force(spark):
+    form, texts = prose(77, 300).split(), []
+    for pair in range(150):
+        own = [f"case{pair}x{k}" for k in range(28)]
+        for copy in range(2):
+            words = form[:150] + own + form[150:]
+            words[(37 * pair + 50 * copy) % 300] = f"edit{pair}x{copy}"
+            texts.append(" ".join(words))
+    want = brute_classes(texts)
+    assert len(set(want)) == 150
+    assert classes_of(spark, texts) == want
+
+
 def test_samples_agree_like_the_similarity():
     r = np.random.default_rng(5)
     keys = np.sort(r.integers(0, 1 << 62, 600).astype(np.uint64))

@@ -2,7 +2,10 @@
 
 A sentence's score is the logistic of the summed weights of its distinct hashed
 words and within-word character 5-grams; a document's is the noisy-or of its
-sentences', ``1 - prod(1 - s)``. Only document labels are learnt from, and the
+sentences', ``1 - prod(1 - s)``. In a text longer than most labelled ones the
+sentences that do not offend weigh less, as if there were only so many, so that
+plain text adds nothing with length; an offending one counts in full at any
+length. Only document labels are learnt from, and the
 sentence scores then locate the offending sentences.
 """
 
@@ -29,6 +32,8 @@ WEIGHT = 3.0
 THRESHOLD = 0.5
 #: A sentence is named as offending from this score on.
 SENTENCE_THRESHOLD = 0.5
+#: This share of the labelled texts has no more sentences than the usual length.
+USUAL = 0.9
 
 
 def _sentences(blob: bytes, starts: np.ndarray) -> np.ndarray:
@@ -50,22 +55,34 @@ def _instances(texts: Sequence[str | None]) -> Iterator[tuple[bytes, np.ndarray,
         yield blob, first, owner, pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
+def _weighed(z: np.ndarray, n: np.ndarray | int, usual: float) -> np.ndarray:
+    """What a sentence of logit z counts in a text of n sentences: usual / n if it does not offend and the text is longer than usual."""
+    return np.where(z < np.log(SENTENCE_THRESHOLD / (1 - SENTENCE_THRESHOLD)), np.minimum(1, usual / np.maximum(n, 1)), 1.0)
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray
     bias: float
+    #: Sentences of a text of usual length.
+    usual: float = 1.0
 
     def _sentence_logits(self, sentence: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(sentence, self.weights[feature], n) + self.bias
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
         """The noisy-or of each whole text; a text without words has none and scores 0."""
-        clean = np.zeros(len(texts))
+        plain, offends, n = (np.zeros(len(texts)) for _ in range(3))
         for _, first, owner, sentence, feature in _instances(texts):
             z = self._sentence_logits(sentence, feature, len(first))
             worded = np.bincount(sentence, minlength=len(first)) > 0
-            clean += np.bincount(owner[worded], -np.logaddexp(0, z[worded]), len(texts))
-        return -np.expm1(clean)
+            z, owner = z[worded], owner[worded]
+            weak = _weighed(z, 2, 1.0) < 1
+            loss = -np.logaddexp(0, z)
+            plain += np.bincount(owner[weak], loss[weak], len(texts))
+            offends += np.bincount(owner[~weak], loss[~weak], len(texts))
+            n += np.bincount(owner, minlength=len(texts))
+        return -np.expm1(offends + plain * np.minimum(1, self.usual / np.maximum(n, 1)))
 
     def offending(self, text: str | None, threshold: float = SENTENCE_THRESHOLD) -> list[tuple[str, float]]:
         """The sentences (lower case) that score ``threshold`` or more, in order."""
@@ -110,6 +127,7 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Toxicit
             base += len(kept)
         ids, at = np.unique(np.concatenate(features), return_inverse=True)
         bags.append((base, np.concatenate(sentences), ids, at.astype(np.int32)))
+    usual = max(1.0, float(np.quantile([n for n, *_ in bags], USUAL)))
     weights = np.zeros(size, dtype=np.float64)
     seen = np.full(size, 1e-6)
     bias, seen_bias = START_BIAS, 1.0
@@ -124,14 +142,16 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Toxicit
                 continue
             z = np.clip(np.bincount(sentence, weights[ids][at], n) + bias, -30, 30)
             p = 1 / (1 + np.exp(-z))
-            whole = -np.expm1(-np.logaddexp(0, z).sum())
+            share = _weighed(z, n, usual)
+            whole = -np.expm1(-(share * np.logaddexp(0, z)).sum())
+            p *= share
             g = p if not y[i] else -WEIGHT * p * (1 - whole) / max(whole, 1e-9)
             step = np.bincount(at, g[sentence], len(ids)) + DECAY * weights[ids]
             seen[ids] += step * step
             weights[ids] -= rate * step / np.sqrt(seen[ids])
             seen_bias += float(g.sum()) ** 2
             bias -= rate * float(g.sum()) / np.sqrt(seen_bias)
-    return ToxicityModel(weights.astype(np.float32), bias)
+    return ToxicityModel(weights.astype(np.float32), bias, usual)
 
 
 def _score_frame(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -147,17 +167,17 @@ def _score_frame(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id long, held_out boolean, score double, predicted int), a row for each row of ``docs``.
 
-    Learns from up to ``rows`` labelled documents that are not held out; the
+    Learns from up to ``rows`` labelled documents of any length that are not held out; the
     score is a function of the whole text alone. Null and empty texts score 0.
     A null doc_id is not held out. Repeated rows come back repeated; an empty
     table gives no rows. Other columns are not read.
     """
-    return _score_frame(docs, train(*labelled_sample(docs, labels, "toxic", rows)))
+    return _score_frame(docs, train(*labelled_sample(docs, labels, "toxic", rows, None)))
 
 
 def offending_sentences(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, threshold: float = SENTENCE_THRESHOLD) -> DataFrame:
     """(doc_id, sentence, score) for each sentence that scores ``threshold`` or more; null cases as in ``score_toxicity``."""
-    model = train(*labelled_sample(docs, labels, "toxic", rows))
+    model = train(*labelled_sample(docs, labels, "toxic", rows, None))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in taken(batches, 1):
@@ -169,7 +189,7 @@ def offending_sentences(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPL
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores under the threshold; null texts stay."""
-    model = train(*labelled_sample(docs, labels, "toxic", rows))
+    model = train(*labelled_sample(docs, labels, "toxic", rows, None))
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

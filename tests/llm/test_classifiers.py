@@ -70,6 +70,24 @@ def test_long_texts_score_as_a_whole():
     assert model.scores([long_])[0] > 0.5 > model.scores([clean])[0]
 
 
+def test_long_clean_texts_stay_clean():
+    texts, marks, _ = toxic_corpus(240)
+    model = toxicity.train(texts, marks)
+    clean = " ".join(prose(50_000 + k, 12) + "." for k in range(5000))
+    assert model.scores([clean])[0] < 0.5 <= model.scores([clean + " a vilething nastyword vilething here."])[0]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_held_out_clean_texts_joined_stay_clean(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.train(*labelled_sample(docs, labels, "toxic", chars=None))
+    rows = docs.join(labels, "doc_id").where("toxic = 0 and text is not null").select("doc_id", "text").orderBy("doc_id").collect()
+    clean = [r.text for r in rows if held_out(r.doc_id) and model.scores([r.text])[0] < 0.1]
+    sentences = [x for t in clean for x in t.replace("\n", ". ").split(". ") if x.strip()]
+    scores = model.scores([". ".join(sentences[k : k + 5000]) for k in range(0, len(sentences) - 4999, 5000)])
+    assert len(scores) and (scores < 0.5).all()
+
+
 def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
@@ -98,6 +116,15 @@ def test_held_out_rows_are_never_learnt(spark):
     assert len(few) == 10
 
 
+def test_long_labelled_texts_are_learnt(spark):
+    long_ = prose(3, 8000)
+    assert len(long_) > 20_000
+    ids = [i for i in range(20) if not held_out(i)]
+    docs = table(spark, [(i, f"{long_} {i}", "en", "s") for i in ids])
+    texts, marks = labelled_sample(docs, labels_of(spark, [(i, 0, i % 2) for i in ids]), "toxic", chars=None)
+    assert len(texts) == len(ids) and sum(marks) == sum(i % 2 for i in ids)
+
+
 def test_drop_toxic_keeps_columns(spark):
     texts, marks, _ = toxic_corpus(150)
     docs = clashing(table(spark, [(i, t, "en", "s") for i, t in enumerate([*texts, None])]))

@@ -2,38 +2,38 @@
 word shingles, banded, verified by weighted Jaccard similarity.
 
 Shingles are windows of five words (`_text`). A shingle's weight is its count
-in the document times ``1 + ln((1+N)/(1+df)) / ln(1+N)``; ``df`` counts, over
-*all* documents, the (document, shingle) incidences that fall in the shingle's
-hashed feature (2**18 features, the usual hashing-trick TF-IDF), so the weight
-table has a fixed size however large the corpus is. Similarity itself is
-computed on the shingles' 64-bit hashes, not on features.
+in the document times its idf, ``1 + ln((1+N)/(1+df)) / ln((1+N)/(1+N/100))``:
+2 for a shingle in one document of a hundred, 1 for one in all. ``df`` is counted
+exactly, by shingle, over *all* documents; rarer shingles weigh 2 as well, so
+only the common ones have to be known to every task, and their number is at
+most a hundred times the distinct shingles of an average document.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import components
+from ._memory import lean
 from ._store import Scratch
-from ._text import SHINGLE_WORDS, distinct, mix, shingle_hashes, taken, word_hashes
+from ._text import distinct, mix, shingle_hashes, taken, word_hashes
 
-FEATURE_BITS = 18
+#: Share of all documents from which a shingle is common.
+COMMON = 0.01
 BANDS, ROWS = 10, 3
 SIMILARITY = 0.8
-#: Pairs whose signatures agree in fewer of the 30 places are not read again; at a similarity of 0.8 that happens to one pair in 5000.
-LEAST_AGREE = 16
-#: Members of a bucket that are compared at a time: a tile of a bucket is two such chunks.
-CHUNK = 512
-#: Pairs that a document brings forward from a tile in each round, the most agreeing first; in the last round all that are left.
-PARTNERS = (1, 16, 256, None)
+#: Documents and shingles that a side of a tile holds on average.
+CHUNK, CHUNK_SHINGLES = 256, 100_000
 
 _ROWS_AT_ONCE = 1024
-_FEATURE_SHIFT = np.uint64(64 - FEATURE_BITS)
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -119,186 +119,298 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return low / (total - low)
 
 
-def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Idf:
+    """The idf of the common shingles (sorted hashes); all others weigh ``RARE``."""
+
+    common: np.ndarray
+    weight: np.ndarray
+    RARE = 2.0
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), self.RARE)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, keys), len(self.common) - 1)
+            known = self.common[at] == keys
+            out[known] = self.weight[at[known]]
+        return out
+
+
+def idf_weight(df: np.ndarray, n: int, share: float = COMMON) -> np.ndarray:
+    return 1 + np.log((1 + n) / (1 + np.maximum(df, share * n))) / np.log((1 + n) / (1 + share * n))
+
+
+def weighted_shingles(words: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = distinct(shingle_hashes(words))
-    return keys, counts * idf[(keys >> _FEATURE_SHIFT).astype(np.int64)].astype(np.float64)
+    return keys, counts * idf.of(keys)
 
 
-def feature_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The idf of each hashed feature, from all documents; 2**18 numbers at any size."""
-    size = 1 << FEATURE_BITS
+def shingle_idf(docs: DataFrame, tmp: Scratch, text: str = "text", share: float = COMMON) -> Idf:
+    """The exact document frequencies of the shingles that a share of all documents has, as idf.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, dtype=np.int64)
-        n = waiting = 0
-        found: list[np.ndarray] = []
+    What a share of all documents has, half that share has over the chunks in
+    which half that share has it, so a chunk reports no others; the second scan
+    counts what may be common, at most twice as many as can be.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """The number of documents with words of a chunk and their distinct shingles."""
         for batch in taken(batches, 0):
-            for _, words in word_hashes(batch.column(0).to_pylist()):
-                keys, _ = distinct(shingle_hashes(words))
-                found.append((keys >> _FEATURE_SHIFT).astype(np.int32))
-                n += 1
-                waiting += len(keys)
-                if waiting > 4 * size:
-                    seen += np.bincount(np.concatenate(found), minlength=size)
-                    found, waiting = [], 0
-        if found:
-            seen += np.bincount(np.concatenate(found), minlength=size)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(np.append(at, -1), pa.int32()), "df": pa.array(np.append(seen[at], n), pa.int64())})
-
-    rows = docs.select(text).mapInArrow(count, "feature int, df bigint").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(size + 1, dtype=np.int64)
-    df[np.asarray(rows["feature"])] = np.asarray(rows["df"])
-    n = int(df[-1])
-    df = np.minimum(df[:-1], n)
-    return (1 + np.log((1 + n) / (1 + df)) / np.log(2 + n)).astype(np.float32)
-
-
-def _signatures(docs: DataFrame, idf: np.ndarray, doc_id: str, text: str) -> DataFrame:
-    import hashlib
+            found = [distinct(shingle_hashes(words))[0] for _, words in word_hashes(batch.column(0).to_pylist()) if len(words)]
+            yield len(found), np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for docs_here, keys in sets(batches):
+            n += docs_here
+            values, counts = distinct(keys)
+            kept = counts > share / 2 * docs_here
+            yield pa.RecordBatch.from_arrays([pa.array(values[kept].view(np.int64)), pa.array(counts[kept]), pa.nulls(int(kept.sum()), pa.int64())], ["shingle", "df", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([n], pa.int64())], ["shingle", "df", "docs"])
+
+    texts = docs.select(text)
+    sums = tmp.keep(texts.mapInArrow(lean(often), "shingle bigint, df bigint, docs bigint").groupBy("shingle").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs")), "often")
+    n = int(sums.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0])
+    maybe = np.sort(np.asarray(sums.where(f"shingle is not null and df >= {share / 2 * n}").select("shingle").toArrow()["shingle"], dtype=np.int64).view(np.uint64))
+    tmp.drop("often")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(maybe), dtype=np.int64)
+        for _, keys in sets(batches):
+            at = np.minimum(np.searchsorted(maybe, keys), len(maybe) - 1)
+            seen += np.bincount(at[maybe[at] == keys], minlength=len(maybe))
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], ["place", "df"])
+
+    if not len(maybe):
+        return Idf(maybe, np.zeros(0))
+    rows = texts.mapInArrow(lean(count), "place int, df bigint").groupBy("place").agg(F.sum("df").alias("df")).where(f"df > {share * n}").toArrow()
+    place, df = np.asarray(rows["place"], dtype=np.int64), np.asarray(rows["df"], dtype=np.float64)
+    order = np.argsort(place)
+    return Idf(maybe[place[order]], idf_weight(df[order], n, share))
+
+
+def _digest(text: str | None) -> bytes:
+    return hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest()
+
+
+def _signatures(docs: DataFrame, idf: Idf) -> DataFrame:
+    """(doc, same, n, bands) of (doc_id, text): a digest of the text, its number of shingles and its bands' hashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in taken(batches, 1):
             texts = batch.column(1).to_pylist()
-            sigs, bands, n, same = [], [], [], []
-            for i, words in word_hashes(texts):
+            bands, n = [], []
+            for _, words in word_hashes(texts):
                 keys, weights = weighted_shingles(words, idf)
-                s = icws(keys, weights, BANDS * ROWS)
-                sigs.append(s.tobytes())
-                bands.append(band_hashes(s).tolist() if len(keys) else [])
+                bands.append(band_hashes(icws(keys, weights, BANDS * ROWS)).tolist() if len(keys) else [])
                 n.append(len(keys))
-                same.append(hashlib.md5((texts[i] or "").encode("utf-8", "surrogatepass")).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc", "same", "n", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, texts), pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc", "same", "n", "bands"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(sign, "doc bigint, same binary, n bigint, sig binary, bands array<bigint>")
+    return docs.mapInArrow(lean(sign), "doc bigint, same binary, n bigint, bands array<bigint>")
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in LEAST_AGREE places at least."""
-    held = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc, same, z) of (doc_id, text): the digest and the compressed text."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for batch in taken(batches, 1):
+            texts = batch.column(1).to_pylist()
+            z = [zip_.compress((x or "").encode("utf-8", "surrogatepass")) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, texts), pa.binary()), pa.array(z, pa.binary())], ["doc", "same", "z"])
+
+    return docs.mapInArrow(lean(squeeze), "doc bigint, same binary, z binary")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1) for name in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= LEAST_AGREE))
 
-    return held.mapInArrow(keep, "a bigint, b bigint")
+def _unpacked(z: list[bytes], idf: Idf) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The weighted shingles of compressed texts."""
+    unzip = zstandard.ZstdDecompressor()
+    return [weighted_shingles(words, idf) for _, words in word_hashes([unzip.decompress(x).decode("utf-8", "surrogatepass") for x in z])]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """(a, b) with a weighted Jaccard similarity of at least ``similarity``.
+def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, similarity: float) -> DataFrame:
+    """(a, b) with a weighted Jaccard similarity of at least ``similarity``; ``texts`` is (node, z).
 
     A hub with many partners is dealt over as many tasks as its partners fill,
     its text sent once to each; no task gathers a group.
     """
     share = 256
-    pairs = pairs.withColumn("part", F.expr("pmod(xxhash64(b), 1 << 20)"))
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
-    dealt = pairs.join(load, "a").withColumn("part", (F.col("part") % F.col("parts")).cast("int")).drop("parts")
-    hubs = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).join(load, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    both = dealt.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(hubs, ["a", "part"]).select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+    dealt = pairs.join(load, "a").withColumn("part", F.expr("cast(pmod(xxhash64(b), parts) as int)")).drop("parts")
+    hubs = texts.select(F.col("node").alias("a"), F.col("z").alias("z_a")).join(load, "a").select("a", "z_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(texts.select(F.col("node").alias("b"), F.col("z").alias("z_b")), "b").join(hubs, ["a", "part"]).select("a", "b", "z_a", "z_b").sortWithinPartitions("a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, None
         for batch in taken(batches, 3):
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            a = batch.column(0).to_pylist()
             found = np.zeros(len(a), dtype=bool)
-            for i, words in word_hashes(batch.column(3).to_pylist()):
+            for i, own in enumerate(_unpacked(batch.column(3).to_pylist(), idf)):
                 if a[i] != hub:
-                    hub = a[i]
-                    hub_set = weighted_shingles(next(word_hashes([batch.column(2)[i].as_py()]))[1], idf)
-                found[i] = weighted_jaccard(hub_set, weighted_shingles(words, idf)) >= similarity
-            keep = np.flatnonzero(found)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in keep], pa.int64()), "b": pa.array([b[i] for i in keep], pa.int64())})
-
-    return both.mapInArrow(check, "a bigint, b bigint")
-
-
-def _best(agree: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
-    """Which pairs are among the ``most`` that agree best of either member."""
-    keep = np.zeros(len(i), dtype=bool)
-    for side in (i, j):
-        order = np.lexsort((-agree, side))
-        first = np.flatnonzero(np.append(True, side[order][1:] != side[order][:-1]))
-        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-        keep[order[rank < most]] = True
-    return keep
-
-
-def _tile(band: int, inner: bool, left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], most: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(a, b, whether pairs are held back) of the candidates between two chunks, each (reps, roots, signatures)."""
-    (reps, roots, sigs), (others, other_roots, other_sigs) = left, right
-    same = sigs[:, None, :] == other_sigs[None, :, :]
-    shared = same.reshape(len(reps), len(others), BANDS, ROWS).all(axis=3)
-    agree = same.sum(axis=2)
-    # A pair belongs to its first common band.
-    good = shared[:, :, band] & ~shared[:, :, :band].any(axis=2) & (agree >= LEAST_AGREE) & (roots[:, None] != other_roots[None, :])
-    i, j = np.nonzero(np.triu(good, 1) if inner else good)
-    keep = np.ones(len(i), dtype=bool) if most is None else _best(agree[i, j], i, j, most)
-    return reps[i[keep]], others[j[keep]], not keep.all()
-
-
-def _candidates(members: DataFrame, most: int | None) -> DataFrame:
-    """(a, b) of the pairs in a bucket that are of different classes and agree in LEAST_AGREE places at least.
-
-    ``members`` is (bucket, band, rep, root, sig). All pairs of a bucket are
-    compared, by signatures alone, in tiles of two chunks. With ``most``, a
-    document brings its best so many from each tile; a row of nulls says that
-    others were held back.
+                    hub, hub_set = a[i], _unpacked([batch.column(2)[i].as_py()], idf)[0]
+                found[i] = weighted_jaccard(hub_set, own) >= similarity
+            yield batch.select([0, 1]).filter(pa.array(found))
+
+    return both.mapInArrow(lean(check), "a bigint, b bigint")
+
+
+def tile_links(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all pairs of sets, one from each side (right null: i < j on the left), that are similar, exactly.
+
+    A shingle that counts c times is c features of its idf; the common weight of
+    all pairs is then one matrix product, in slices of the features that more
+    than one set has.
     """
-    large = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    dealt = members.join(large, "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("mine", F.expr("cast(pmod(xxhash64(rep), chunks) as int)"))
-    tiles = dealt.select("bucket", "band", "rep", "root", "sig", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    keys = ["bucket", "low", "high"]
-    rows = tiles.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "band", "rep", "root", "sig").repartition(*keys).sortWithinPartitions(*keys)
+    both = left if right is None else left + right
+    total = np.array([w.sum() for _, w in both])
+    shared = np.zeros((len(left), len(left if right is None else right)))
+    if len(both) <= 16:
+        for i, x in enumerate(left):
+            for j, y in enumerate(left if right is None else right):
+                if right is not None or i < j:
+                    shared[i, j] = _common(x, y)
+    else:
+        row = np.repeat(np.arange(len(both)), [len(k) for k, _ in both])
+        keys, at, seen = np.unique(np.concatenate([k for k, _ in both]), return_inverse=True, return_counts=True)
+        weight = np.concatenate([w for _, w in both])
+        several = seen[at] > 1
+        row, at, weight = row[several], at[several], weight[several]
+        order = np.argsort(at, kind="stable")
+        row, weight = row[order], weight[order]
+        _, at = np.unique(at[order], return_inverse=True)
+        low = 0
+        while low < len(at):
+            high = int(np.searchsorted(at, at[low] + 2048))
+            levels = _levels(row[low:high], at[low:high] - at[low], weight[low:high])
+            for rows, features, worth in levels:
+                x = np.zeros((len(both), int(features.max()) + 1))
+                x[rows, features] = np.sqrt(worth)
+                shared += x[: len(left)] @ (x if right is None else x[len(left) :]).T
+            low = high
+    union = total[: len(left), None] + total[None, -shared.shape[1] :] - shared
+    alike = shared >= similarity * union
+    edge = np.abs(shared - similarity * union) < 1e-7 * union
+    if right is None:
+        alike, edge = np.triu(alike, 1), np.triu(edge, 1)
+    for i, j in zip(*np.nonzero(edge), strict=True):
+        alike[i, j] = weighted_jaccard(left[i], (left if right is None else right)[j]) >= similarity
+    return np.nonzero(alike)
+
+
+def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The sum of minima."""
+    at = np.minimum(np.searchsorted(b[0], a[0]), max(0, len(b[0]) - 1))
+    hit = b[0][at] == a[0] if len(b[0]) else np.zeros(len(a[0]), dtype=bool)
+    return float(np.minimum(a[1][hit], b[1][at[hit]]).sum())
+
+
+def _levels(row: np.ndarray, feature: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Entries cut so that minima become products: of each feature's distinct weights, each step up is a feature of its own."""
+    while len(row):
+        least = np.full(int(feature.max()) + 1, np.inf)
+        np.minimum.at(least, feature, weight)
+        step = least[feature]
+        yield row, feature, step
+        more = weight > step
+        row, feature, weight = row[more], feature[more], weight[more] - step[more]
+
+
+def _settled(members: DataFrame, texts: DataFrame, idf: Idf, similarity: float) -> DataFrame:
+    """(a, b): verified links between the classes of each bucket.
+
+    ``members`` is (bucket, node, n, root). Every pair of a bucket's documents
+    that are of different classes is verified, in tiles of two blocks with a
+    bounded number of documents and shingles; the largest class is dealt to
+    blocks of its own, and those do not meet each other. Of the links between
+    two classes a tile reports one.
+    """
+    sums = members.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    mixed = sums.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("root", "c").alias("major"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.max("c").alias("major_c"), F.max_by("w", "c").alias("major_w")).where("classes > 1")
+    blocks = "cast(ceil(greatest({0} / {2}e0, {1} / {3}e0, 1e0)) as int)"
+    mixed = mixed.selectExpr("bucket", "major", f"{blocks.format('(c - major_c)', '(w - major_w)', CHUNK, CHUNK_SHINGLES)} as others", f"{blocks.format('major_c', 'major_w', CHUNK, CHUNK_SHINGLES)} as majors")
+    placed = members.join(mixed, "bucket").selectExpr("bucket", "node", "root", "others", "majors", "root = major as in_major", "cast(pmod(xxhash64(node), case when root = major then majors else others end) as int) as mine")
+    among = "transform(sequence(0, others - 1), i -> named_struct('kind', 0, 'x', least(i, mine), 'y', greatest(i, mine)))"
+    against = "transform(sequence(0, {0} - 1), i -> named_struct('kind', 1, 'x', {1}, 'y', {2}))"
+    tiles = f"case when in_major then {against.format('others', 'i', 'mine')} else concat({among}, {against.format('majors', 'mine', 'i')}) end"
+    rows = placed.join(texts, "node").selectExpr("bucket", f"explode({tiles}) as tile", "node", "root", "in_major", "mine", "z").select("bucket", "tile.*", "node", "root", "in_major", "mine", "z")
+    keys = ["bucket", "kind", "x", "y"]
+
+    def close(whole: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        kind, x, y = (whole.column(c)[0].as_py() for c in ("kind", "x", "y"))
+        node, root, mine = (whole.column(c).to_numpy() for c in ("node", "root", "mine"))
+        sets = _unpacked(whole.column("z").to_pylist(), idf)
+        second = np.asarray(whole.column("in_major").to_pylist()) if kind else mine == y if x != y else np.zeros(len(node), dtype=bool)
+        one, two = np.flatnonzero(~second), np.flatnonzero(second)
+        inner = not kind and x == y
+        if not len(one) or not (inner or len(two)):
+            return node[:0], node[:0]
+        i, j = tile_links([sets[k] for k in one], None if inner else [sets[k] for k in two], similarity)
+        a, b = one[i], (one if inner else two)[j]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        _, first = np.unique(np.stack([np.minimum(root[a], root[b]), np.maximum(root[a], root[b])]), axis=1, return_index=True)
+        return node[a[first]], node[b[first]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, bool]:
-            whole = pa.Table.from_batches(parts)
-            low, high, band = (whole.column(c)[0].as_py() for c in ("low", "high", "band"))
-            mine, reps, roots = (whole.column(c).to_numpy() for c in ("mine", "rep", "root"))
-            sigs = np.frombuffer(b"".join(whole.column("sig").to_pylist()), dtype=np.uint32).reshape(len(reps), -1)
-            sides = [(reps[at], roots[at], sigs[at]) for at in (mine == low, mine == high)]
-            return _tile(band, low == high, sides[0], sides[1], most)
-
-        def out(found: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
-            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            pairs = [np.minimum(a, b), np.maximum(a, b)]
-            held_back = any(f[2] for f in found)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(int(held_back), pa.int64())]) for x in pairs], ["a", "b"])
-
         waiting: list[pa.RecordBatch] = []
         key = None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in close(pa.Table.from_batches(waiting))], ["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [batch.column(c).to_numpy() for c in keys]
             cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-            found = []
             for at, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 here = tuple(c[at] for c in columns)
                 if waiting and here != key:
-                    found.append(close(waiting))
+                    yield out()
                     waiting = []
                 key = here
                 waiting.append(batch.slice(int(at), int(end - at)))
-            if found:
-                yield out(found)
         if waiting:
-            yield out([close(waiting)])
+            yield out()
 
-    return rows.mapInArrow(work, "a bigint, b bigint").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(work), "a bigint, b bigint")
 
 
-def _classes(spark: SparkSession, links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
-    """(rep, root) of every linked document, kept."""
-    stars = Scratch(spark, "classes")
-    out = tmp.keep(components(links, stars).withColumnRenamed("node", "rep"), name)
+def _roots(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
+    """(node, root) of every linked text, kept."""
+    stars = Scratch(tmp.spark, "classes")
+    out = tmp.keep(components(edges, stars), name)
     stars.drop("")
     return out
 
 
+def _classified(docs: DataFrame, tmp: Scratch, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc, same, n) of every row of (doc_id, text), and (same, doc, root) of every distinct text with an id, doc the smallest that has it."""
+    idf = shingle_idf(docs, tmp)
+    signed = tmp.keep(_signatures(docs, idf), "signed")
+    least = signed.where("doc is not null").groupBy("same").agg(F.min("doc").alias("doc"))
+    # A node is a text, so that an id with two texts has two.
+    nodes = tmp.keep(signed.join(least, ["doc", "same"]).dropDuplicates(["doc", "same"]).select(F.monotonically_increasing_id().alias("node"), "same", "doc", "n", "bands"), "nodes")
+    spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
+    shared = tmp.keep(spread.join(sizes, "bucket"), "shared")
+    busy = shared.groupBy("node").agg(F.sum("mates").alias("busy"))
+    hubs = shared.join(busy, "node").groupBy("bucket").agg(F.max_by("node", "busy").alias("hub"))
+    held = tmp.keep(shared.join(hubs, "bucket").where("node <> hub").select("bucket", "node", "n", "hub"), "held")
+    wanted = shared.select("node").distinct().join(nodes.select("node", "doc", "same"), "node")
+    texts = tmp.keep(_packed(docs).join(wanted, ["doc", "same"]).select("node", "z").dropDuplicates(["node"]), "texts")
+    pairs = held.groupBy(F.least("node", "hub").alias("lo"), F.greatest("node", "hub").alias("hi")).agg(F.min("hub").alias("a")).select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b"))
+    links = tmp.keep(_verified(pairs, texts, idf, similarity), "links")
+    first = _roots(links, tmp, "first")
+    members = held.join(first, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    found = tmp.keep(_settled(members, texts, idf, similarity), "found")
+    last = first if found.isEmpty() else _roots(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), tmp, "last")
+    classes = tmp.keep(nodes.join(last, "node", "left").select("same", "doc", F.coalesce("root", "node").alias("root")), "classes")
+    tmp.drop("nodes", "shared", "held", "texts", "links", "first", "found", "last")
+    return signed.select("doc", "same", "n"), classes
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id long, class_id long, n_shingles long), a row for each row of ``docs``.
 
@@ -311,54 +423,42 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, doc_id: str = "doc_
     with the most bucket mates over all bands is verified against the others,
     which brings a large group of copies into one class in linear time. Then
     all pairs of a bucket whose documents are still in different classes are
-    compared by signature and those that agree verified, the best partners of
-    each document first; it ends when every candidate pair is linked, in one
-    class or rejected. Documents that are alike but not near (many of one
-    template) cost the square of their number.
+    verified in tiles, so no candidate pair is left unsettled. Documents that
+    are alike but not near (many of one template) cost the square of their number.
 
     Null and empty texts are equal to each other and to nothing else; a text
     without words links only to equal texts; under five words the whole text
     is one shingle. Rows with a null doc_id come back with a null class.
-    Repeated rows share their class. An empty table gives no rows. Other
-    columns of ``docs`` are not read.
+    Repeated rows share their class; a doc_id with two texts has a row and a
+    class for each. An empty table gives no rows. Other columns of ``docs``
+    are not read.
     """
     tmp = Scratch(spark, "neardup")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    idf = feature_idf(docs)
-    signed = tmp.keep(_signatures(docs, idf, "doc_id", "text"), "signed")
-    reps = signed.where("doc is not null").groupBy("same").agg(F.min("doc").alias("rep"))
-    # A repeated id with two texts keeps a row for each text.
-    own = tmp.keep(signed.join(reps.withColumnRenamed("rep", "doc"), ["doc", "same"]).select(F.col("doc").alias("rep"), "same", "sig", "bands").dropDuplicates(["rep", "same"]), "own")
-    spread = own.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", "band", F.xxhash64("band", "h").alias("bucket"))
-    sizes = spread.groupBy("bucket").agg(F.countDistinct("rep").alias("mates")).where("mates > 1")
-    held = tmp.keep(spread.distinct().join(sizes, "bucket"), "held")
-    wanted = held.select("rep").distinct()
-    sigs = tmp.keep(own.select("rep", "sig").join(wanted, "rep", "left_semi"), "sigs")
-    texts = tmp.keep(docs.join(own.select(F.col("rep").alias("doc_id")).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct(), "texts")
-    names = ["signed", "own", "held", "sigs", "texts"]
-    busy = held.groupBy("rep").agg(F.sum("mates").alias("busy"))
-    hubs = held.join(busy, "rep").groupBy("bucket").agg(F.expr("max_by(rep, struct(busy, -rep))").alias("hub"))
-    met = held.join(hubs, "bucket").where("rep <> hub").select("hub", F.least("rep", "hub").alias("lo"), F.greatest("rep", "hub").alias("hi"))
-    pairs = met.groupBy("lo", "hi").agg(F.min("hub").alias("a")).select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b"))
-    links = tmp.keep(_verified(_agreeing(pairs, sigs), texts, idf, similarity).distinct(), "links")
-    roots = _classes(spark, links, tmp, "roots")
-    names += ["links", "roots"]
-    for k, most in enumerate(PARTNERS):
-        placed = held.join(roots, "rep", "left").select("bucket", "band", "rep", F.coalesce("root", "rep").alias("root"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        members = tmp.keep(placed.join(mixed, "bucket", "left_semi").join(sigs, "rep"), f"members{k}")
-        pairs = tmp.keep(_candidates(members, most), f"pairs{k}")
-        tmp.drop(f"members{k}")
-        found = tmp.keep(_verified(pairs.where("a is not null"), texts, idf, similarity).distinct(), f"links{k}")
-        names += [f"pairs{k}", f"links{k}"]
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = _classes(spark, links, tmp, f"roots{k}")
-            names.append(f"roots{k}")
-        if pairs.where("a is null").isEmpty():
-            break
-    reps = reps.join(roots, "rep", "left").select("same", F.coalesce("root", "rep").alias("rep"))
-    # Copies that share only an id (one id, two texts) meet in the smaller class.
-    out = tmp.keep(signed.select("doc", "same", "n").join(reps, "same", "left").select(F.col("doc").alias("doc_id"), F.when(F.col("doc").isNotNull(), F.col("rep")).alias("class_id"), F.col("n").alias("n_shingles")), "out")
-    tmp.drop(*names)
+    signed, classes = _classified(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tmp, similarity)
+    least = classes.groupBy("root").agg(F.min("doc").alias("class_id"))
+    named = classes.join(least, "root").select("same", "class_id")
+    out = tmp.keep(signed.join(named, "same", "left").select(F.col("doc").alias("doc_id"), F.when(F.col("doc").isNotNull(), F.col("class_id")).alias("class_id"), F.col("n").alias("n_shingles")), "out")
+    tmp.drop("signed", "classes")
     return out
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, one for each class of ``near_duplicates``: that with the smallest doc_id.
+
+    Of two texts of one class and doc_id the one with the smaller digest stays,
+    of rows equal in both one (by a hash of all columns). Rows without a doc_id stay.
+    """
+    tmp = Scratch(spark, "neardup")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    id_, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    signed, classes = _classified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tmp, similarity)
+    stays = classes.groupBy("root").agg(F.min(F.struct("doc", "same")).alias("first")).select("first.*")
+    rows = signed.where("doc is not null").groupBy("doc", "same").agg(F.count("*").alias("_rows"))
+    stays = tmp.keep(rows.join(stays, ["doc", "same"]).withColumnsRenamed({"doc": "_doc", "same": "_same"}), "stays")
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    kept = tmp.keep(plain.where(id_.isNotNull()).join(stays, (id_.cast("long") == F.col("_doc")) & (digest == F.col("_same"))), "kept")
+    one = kept.where("_rows = 1").select(*names)
+    several = kept.where("_rows > 1").groupBy("_doc", "_same").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")).select("row.*")
+    tmp.drop("signed", "classes", "stays")
+    return one.union(several).union(plain.where(id_.isNull())).toDF(*docs.columns)

@@ -1,3 +1,5 @@
+import collections
+
 import numpy as np
 import pytest
 
@@ -11,11 +13,10 @@ def brute_classes(texts):
     """Components of all pairs with a weighted Jaccard similarity of 0.8."""
     n = len(texts)
     words = [w for _, w in word_hashes(texts)]
-    seen = np.zeros(1 << neardup.FEATURE_BITS, dtype=np.int64)
-    for w in words:
-        seen += np.bincount((distinct(shingle_hashes(w))[0] >> np.uint64(64 - neardup.FEATURE_BITS)).astype(np.int64), minlength=len(seen))
-    idf = (1 + np.log((1 + n) / (1 + np.minimum(seen, n))) / np.log(2 + n)).astype(np.float32)
-    sets = [neardup.weighted_shingles(w, idf) for w in words]
+    found = [distinct(shingle_hashes(w)) for w in words]
+    df = collections.Counter(k for keys, _ in found for k in keys.tolist())
+    worded = sum(len(w) > 0 for w in words)
+    sets = [(keys, counts * neardup.idf_weight(np.array([df[k] for k in keys.tolist()]), worded)) for keys, counts in found]
     root = list(range(n))
 
     def find(x):
@@ -105,12 +106,57 @@ def test_odd_rows(spark):
 
 
 def test_components_of_chains_and_rings(spark):
-    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (100, 101)]
-    out = _graph.components(spark.createDataFrame(edges, "a long, b long"), _store.Scratch(spark, "t"))
-    assert {r.node: r.root for r in out.collect()} == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100, 102: 100}
+    edges = [(i, i + 1) for i in range(1, 400)] + [(1000, 1001), (1001, 1002), (1002, 1000), (7, 7), (1000, 1001)]
+    for task_edges in (100, 500_000):
+        out = _graph.components(spark.createDataFrame(edges, "a long, b long").repartition(7), _store.Scratch(spark, "t"), task_edges=task_edges)
+        assert {r.node: r.root for r in out.collect()} == {**dict.fromkeys(range(1, 401), 1), 1000: 1000, 1001: 1000, 1002: 1000}
     assert _graph.components(spark.createDataFrame([], "a long, b long"), _store.Scratch(spark, "t")).isEmpty()
 
 
+def random_sets(r, n):
+    out = []
+    for _ in range(n):
+        keys = np.unique(r.integers(0, 300, 300).astype(np.uint64))
+        out.append((keys, r.integers(1, 4, len(keys)) * float(r.choice([1.0, 1.25, 2.0]))))
+    return out
+
+
+def test_tiles_match_pairs():
+    r = np.random.default_rng(1)
+    for n, m in ((30, 25), (5, 4)):
+        a, b = random_sets(r, n), random_sets(r, m)
+        for similarity in (0.2, 0.25, 0.3):
+            near = {(i, j) for i in range(n) for j in range(m) if neardup.weighted_jaccard(a[i], b[j]) >= similarity}
+            assert set(zip(*(x.tolist() for x in neardup.tile_links(a, b, similarity)), strict=True)) == near
+            near = {(i, j) for i in range(n) for j in range(i + 1, n) if neardup.weighted_jaccard(a[i], a[j]) >= similarity}
+            assert set(zip(*(x.tolist() for x in neardup.tile_links(a, None, similarity)), strict=True)) == near
+
+
+def test_idf_counts_all_documents(spark):
+    texts = [f"{prose(5, 30)} {prose(k + 900, 20)}" if k % 3 else prose(k + 900, 50) for k in range(300)]
+    idf = neardup.shingle_idf(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(5), _store.Scratch(spark, "t"))
+    df = collections.Counter(k for _, w in word_hashes(texts) for k in distinct(shingle_hashes(w))[0].tolist())
+    want = {k: v for k, v in df.items() if v > 3}
+    assert want and dict(zip(idf.common.tolist(), idf.weight.tolist(), strict=True)) == pytest.approx({k: float(neardup.idf_weight(np.array([v]), 300)[0]) for k, v in want.items()})
+
+
+def test_large_group_among_others_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 10)
+    texts = [*variants(11, 60, 6, 200), *variants(11, 30, 14, 200), *[prose(300 + k, 80) for k in range(20)]]
+    want = brute_classes(texts)
+    assert classes_of(spark, texts) == want
+
+
+def test_one_of_each_class_stays(spark):
+    docs = odd_docs(spark).union(table(spark, [(20, prose(2, 3000) + " more", "en", "z"), (7, "another text of the id seven", "en", "z"), (30, "another text of the id seven", "fr", "z")]))
+    kept = neardup.drop_near_duplicates(spark, docs)
+    assert kept.columns == docs.columns
+    rows = sorted(((r.doc_id, r.source) for r in kept.collect()), key=repr)
+    assert [i for i, _ in rows].count(7) == 2 and {20, 30, 2, 5}.isdisjoint({i for i, _ in rows}) and (None, "a") in rows
+    assert sorted_rows(neardup.drop_near_duplicates(spark, clashing(docs)).select(*docs.columns)) == sorted_rows(kept)
+    assert neardup.drop_near_duplicates(spark, empty(spark)).isEmpty()
+
+
 def test_words_of_long_texts_are_whole():
     text = prose(1, 300_000)
     (_, one), (_, two) = word_hashes([text, "ka"])

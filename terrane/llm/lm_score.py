@@ -1,177 +1,341 @@
 """Cross-entropy difference: matched target and background n-gram models score each document.
 
-Both models are character 4-gram models over one shared vocabulary, a folded
-alphabet of 40 symbols, counted over all documents (target: those that a label
-marks). The background's counts are scaled to the target's total, both are
-smoothed alike, and a document's score is the mean over its tokens of the
-target loss less the background loss (nats); lower is closer to the target.
-The fixed alphabet bounds a model at 40**4 numbers however large the corpus is;
-the counts themselves come from every text.
+Both models are word bigram models over one shared vocabulary, all words of the
+corpus (`_text`; characters of scripts that are written without spaces are words
+of their own) and the end of a text. Counts are exact, over all documents
+(target: those that are marked), and live in tables that grow with the corpus:
+each word's occurrences are dealt to a slot, which counts and scores them. The
+background is scaled to the target's total, both are smoothed alike towards one
+unigram estimate, and a document's own bigrams are left out of the counts that
+score it. A document's score is the mean over its tokens of the target loss less
+the background loss (nats); lower is closer to the target.
+
+Words and bigrams with a share of ``FREQUENT`` or more (their number is bounded
+by its inverse) are counted beforehand and sent to every task, so that no slot
+gathers a common word or pair.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import re
 from collections.abc import Iterator, Sequence
-from functools import cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import taken
+from ._memory import lean
+from ._parcels import by_slot, column, dealt, entries
+from ._store import Scratch
+from ._text import mix, taken, word_hashes
 
-SYMBOLS, ORDER = 40, 4
-GRAMS = SYMBOLS**ORDER
 #: Weight, in tokens, of the next shorter context's estimate.
 PRIOR = 8.0
-#: Characters that are turned into symbols at a time.
-PIECE = 1 << 19
-_LINE = 34
-_PAD = "\n" * (ORDER - 1)
+#: The probability that the unigram estimate falls back to for any word.
+UNSEEN = 1e-6
+#: Share of all tokens from which a word or bigram is frequent.
+FREQUENT = 1e-3
+#: Tokens of a slot on average: what bounds a task's memory.
+SLOT_TOKENS = 2_000_000
+#: Target ids (8 bytes each) up to which they are sent to every task; more are joined.
+TARGETS_SENT = 4_000_000
 
+START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_ROWS = 60_000
+_SPACELESS = re.compile("([฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff])")
 
-@cache
-def alphabet() -> np.ndarray:
-    """The symbol of each code point under 0x250; all others are symbol 39.
 
-    0-25 a-z; 26-31 accented a, e, i, o, u and other Latin letters; 32 digits;
-    33 spaces; 34 line feeds; 35 sentence ends; 36 other stops; 37 quotes,
-    brackets and dashes; 38 other signs.
-    """
-    out = np.full(0x250, 38, dtype=np.int32)
-    for code in range(0x250):
-        char = chr(code).lower()[0]
-        base = unicodedata.normalize("NFD", char)[0]
-        if "a" <= char <= "z":
-            out[code] = ord(char) - 97
-        elif char.isalpha():
-            out[code] = 26 + "aeiou".find(base) if base in "aeiou" else 31
-        elif char.isdigit():
-            out[code] = 32
-        elif char == "\n":
-            out[code] = _LINE
-        elif char.isspace():
-            out[code] = 33
-        elif char in ".!?":
-            out[code] = 35
-        elif char in ",;:":
-            out[code] = 36
-        elif char in "'\"()[]{}-":
-            out[code] = 37
-    return out
-
-
-def grams(texts: Sequence[str | None]) -> Iterator[tuple[int, np.ndarray]]:
-    """(index, 4-gram of each character) of texts in order; a long text comes in pieces.
-
-    A text is read as if line feeds stood before it; a null text has no grams.
-    """
-    table = alphabet()
-
-    def read(lot: list[tuple[int, str]]) -> Iterator[tuple[int, np.ndarray]]:
-        codes = np.frombuffer("".join(x for _, x in lot).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        symbols = np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], SYMBOLS - 1)
-        all_ = symbols[ORDER - 1 :].copy()
-        for k in range(1, ORDER):
-            all_ += symbols[ORDER - 1 - k : len(symbols) - k] * SYMBOLS**k
-        at = 0
-        for i, x in lot:
-            yield i, all_[at : at + len(x) - (ORDER - 1)]
-            at += len(x)
-
-    lot: list[tuple[int, str]] = []
-    size = 0
-    for i, text in enumerate(texts):
-        text = _PAD + (text or "").lower()
-        for low in range(0, max(1, len(text) - (ORDER - 1)), PIECE):
-            part = text[low : low + PIECE + ORDER - 1]
-            lot.append((i, part))
-            size += len(part)
-            if size > PIECE:
-                yield from read(lot)
-                lot, size = [], 0
-    if lot:
-        yield from read(lot)
-
-
-def model(counts: np.ndarray, scale: float = 1.0) -> np.ndarray:
-    """The loss (nats, float32) of each 4-gram's last symbol: Dirichlet smoothing from one order to the next."""
-    shorter = np.full(SYMBOLS, 1 / SYMBOLS)
-    counts = counts.reshape((SYMBOLS,) * ORDER)
-    for n in range(1, ORDER + 1):
-        c = counts.sum(axis=tuple(range(ORDER - n))) * scale if n < ORDER else counts * scale
-        shorter = (c + PRIOR * shorter) / (c.sum(axis=-1, keepdims=True) + PRIOR)
-    return -np.log(shorter).reshape(-1).astype(np.float32)
-
-
-def _counted(marked: DataFrame) -> DataFrame:
-    """(gram, background, target) of (z, target) rows, summed over the corpus."""
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, GRAMS), dtype=np.int64)
-        unzip = zstandard.ZstdDecompressor()
-        for batch in taken(batches, 0):
-            marks = batch.column(1).to_pylist()
-            for which in (0, 1):
-                texts = [unzip.decompress(z).decode("utf-8", "surrogatepass") for z, m in zip(batch.column(0).to_pylist(), marks, strict=True) if bool(m) == bool(which)]
-                found: list[np.ndarray] = []
-                size = 0
-                for _, g in grams(texts):
-                    found.append(g)
-                    size += len(g)
-                    if size > 2 * GRAMS:
-                        totals[which] += np.bincount(np.concatenate(found), minlength=GRAMS)
-                        found, size = [], 0
-                if found:
-                    totals[which] += np.bincount(np.concatenate(found), minlength=GRAMS)
-        at = np.flatnonzero(totals.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(totals[:, at].sum(axis=0)), pa.array(totals[1, at])], ["gram", "background", "target"])
-
-    return marked.mapInArrow(count, "gram int, background bigint, target bigint").groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def train(docs: DataFrame, targets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(target, background) losses by 4-gram; ``targets`` has the doc_ids of the target texts."""
+
+@dataclass
+class Tokens:
+    """The tokens of some texts, ends included; texts without words have none. ``n`` and ``target`` are by text."""
+
+    word: np.ndarray
+    before: np.ndarray
+    doc: np.ndarray
+    n: np.ndarray
+    target: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Sequence[str | None], target: np.ndarray) -> Tokens:
+        texts = [x if not x or x.isascii() or not _SPACELESS.search(x) else _SPACELESS.sub(r" \1 ", x) for x in texts]
+        parts: list[np.ndarray] = []
+        n = np.zeros(len(texts), dtype=np.int64)
+        for i, words in word_hashes(texts):
+            if len(words):
+                parts += [words, np.array([END])]
+                n[i] = len(words) + 1
+        word = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+        before = np.concatenate([[START], word[:-1]]).astype(np.uint64) if len(word) else word
+        before[(np.cumsum(n) - n)[n > 0]] = START
+        return cls(word, before, np.repeat(np.arange(len(texts)), n), n, target)
+
+
+@dataclass
+class Frequent:
+    """Exact counts (background, target) of the frequent words and bigrams, and the totals of tokens and texts."""
+
+    words: np.ndarray
+    word_counts: np.ndarray
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+    tokens: np.ndarray
+    texts: np.ndarray
+
+    @property
+    def scale(self) -> float:
+        return float(self.tokens[1] / self.tokens[0]) if self.tokens[1] else 1.0
+
+    def numerators(self, pair: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(target, background) of tokens with bigram and word counts (background, target rows), their own left out."""
+        base = (word[0] + PRIOR * UNSEEN) / (self.tokens[0] + PRIOR)
+        shorter_t = (word[1] + PRIOR * base) / (self.tokens[1] + PRIOR)
+        shorter_b = (self.scale * word[0] + PRIOR * base) / (self.scale * self.tokens[0] + PRIOR)
+        return np.log(pair[1] + PRIOR * shorter_t), np.log(self.scale * pair[0] + PRIOR * shorter_b)
+
+    def denominators(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.log(context[1] + PRIOR), np.log(self.scale * context[0] + PRIOR)
+
+
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether there) of keys among sorted ones."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _repeats(group: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """How many entries share an entry's group and document."""
+    _, at, counts = np.unique(group.astype(np.int64) * docs + doc, return_inverse=True, return_counts=True)
+    return counts[at]
+
+
+def _marked(docs: DataFrame, targets: DataFrame, tmp: Scratch, sent: int) -> tuple[DataFrame, np.ndarray | None]:
+    """(key, text, target) or, with few targets, (key, text) and the sorted target ids."""
+    source = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").alias("text"))
+    marks = targets.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct()
+    if marks.limit(sent + 1).count() <= sent:
+        return source, np.sort(np.asarray(marks.toArrow()["key"], dtype=np.int64))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
         for batch in taken(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zip_.compress((x or "").encode("utf-8", "surrogatepass")) for x in batch.column(1).to_pylist()], pa.binary())], ["key", "z"])
+            z = [None if x is None else zip_.compress(x.encode("utf-8", "surrogatepass")) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["key", "text"])
+
+    moved = source.mapInArrow(lean(squeeze), "key bigint, text binary")
+    return tmp.keep(moved.join(marks.withColumn("target", F.lit(True)), "key", "left").select("key", "text", F.col("target").isNotNull().alias("target")), "marked"), None
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], marks: np.ndarray | None) -> Iterator[tuple[list[int | None], list[str | None], Tokens]]:
+    """(ids, texts, tokens) of about four megabytes of text at a time."""
+    unzip = zstandard.ZstdDecompressor()
+    for large in taken(batches, 1):
+        for low in range(0, large.num_rows, _ROWS):
+            batch = large.slice(low, _ROWS)
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if marks is None:
+                texts = [None if z is None else unzip.decompress(z).decode("utf-8", "surrogatepass") for z in texts]
+                target = np.asarray(batch.column(2).to_pylist(), dtype=bool)
+            else:
+                known = np.array([x is not None for x in ids])
+                target = _found(marks, np.array([x or 0 for x in ids], dtype=np.int64))[1] & known
+            yield ids, texts, Tokens.of(texts, target)
+
+
+def _candidates(source: DataFrame, marks: np.ndarray | None, tmp: Scratch, share: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(words, bigrams, tokens): all with ``share`` or more of the tokens, at most twice its inverse of each, and the number of tokens.
+
+    What reaches a share of all tokens reaches half of it over the chunks in
+    which it has half of it; only those chunks' counts are moved.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, t in _chunks(batches, marks):
+            found = [(2, np.zeros(1, dtype=np.uint64), np.array([len(t.word)]))]
+            for kind, keys in ((0, t.word), (1, _pair(t.before, t.word))):
+                values, counts = np.unique(keys, return_counts=True)
+                often = counts > share / 2 * len(keys)
+                found.append((kind, values[often], counts[often]))
+            kinds = np.concatenate([np.full(len(v), k, dtype=np.int32) for k, v, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([v for _, v, _ in found]).view(np.int64)), pa.array(np.concatenate([c for _, _, c in found]).astype(np.int64))], ["kind", "value", "n"])
+
+    sums = tmp.keep(source.mapInArrow(lean(count), "kind int, value bigint, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n")), "often")
+    total = int(sums.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    rows = sums.where(f"kind < 2 and n >= {share / 2 * total}").toArrow()
+    tmp.drop("often")
+    kind, value = np.asarray(rows["kind"]), np.asarray(rows["value"], dtype=np.int64).view(np.uint64)
+    return np.unique(np.append(value[kind == 0], END)), np.unique(value[kind == 1]), total
+
+
+def _frequent(source: DataFrame, marks: np.ndarray | None, words: np.ndarray, pairs: np.ndarray, share: float) -> Frequent:
+    """The exact counts of the candidates, those that are frequent kept (the end always), and the totals."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((2, n), dtype=np.int64) for n in (len(words), len(pairs), 1, 1)]
+        for _, _, t in _chunks(batches, marks):
+            marked = t.target[t.doc]
+            for out, keys, values in ((sums[0], words, t.word), (sums[1], pairs, _pair(t.before, t.word))):
+                at, there = _found(keys, values)
+                for row, chosen in ((0, there), (1, there & marked)):
+                    out[row] += np.bincount(at[chosen], minlength=out.shape[1])[: out.shape[1]]
+            sums[2][:, 0] += len(t.word), int(marked.sum())
+            sums[3][:, 0] += int((t.n > 0).sum()), int((t.target & (t.n > 0)).sum())
+        kind = np.concatenate([np.full(x.shape[1], k, dtype=np.int32) for k, x in enumerate(sums)])
+        place = np.concatenate([np.arange(x.shape[1], dtype=np.int32) for x in sums])
+        both = np.concatenate(sums, axis=1)
+        some = both[0] > 0
+        yield pa.RecordBatch.from_arrays([pa.array(kind[some]), pa.array(place[some]), pa.array(both[0, some]), pa.array(both[1, some])], ["kind", "place", "background", "target"])
+
+    rows = source.mapInArrow(lean(count), "kind int, place int, background bigint, target bigint").groupBy("kind", "place").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
+    sums = [np.zeros((2, n), dtype=np.int64) for n in (len(words), len(pairs), 1, 1)]
+    for k, place, b, t in zip(*(rows[c].to_pylist() for c in ("kind", "place", "background", "target")), strict=True):
+        sums[k][:, place] = b, t
+    tokens = sums[2][:, 0]
+    keep = [(x[0] >= share * tokens[0]) & (x[0] > 0) for x in sums[:2]]
+    keep[0] |= words == END
+    return Frequent(words[keep[0]], sums[0][:, keep[0]], pairs[keep[1]], sums[1][:, keep[1]], tokens, sums[3][:, 0])
+
+
+def _doc_keys(ids: Sequence[int | None], texts: Sequence[str | None]) -> np.ndarray:
+    """A key of each row's id and text; equal rows share it."""
+    out = [xxhash.xxh3_64_intdigest((x or "").encode("utf-8", "surrogatepass"), seed=0 if i is None else 1 + i % (1 << 63)) for i, x in zip(ids, texts, strict=True)]
+    return np.array(out, dtype=np.uint64)
 
-    moved = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").alias("words")).mapInArrow(squeeze, "key bigint, z binary")
-    marks = targets.select(F.col("doc_id").cast("long").alias("key")).distinct().withColumn("hit", F.lit(True))
-    rows = _counted(moved.join(marks, "key", "left").select("z", F.col("hit").isNotNull().alias("target"))).toArrow()
-    totals = np.zeros((2, GRAMS))
-    at = np.asarray(rows["gram"])
-    totals[0, at], totals[1, at] = np.asarray(rows["background"]), np.asarray(rows["target"])
-    scale = totals[1].sum() / totals[0].sum() if totals[1].sum() else 1.0
-    return model(totals[1]), model(totals[0], scale)
 
+def _routed(source: DataFrame, marks: np.ndarray | None, known: Frequent, slots: int) -> DataFrame:
+    """The tokens whose bigram is not frequent, dealt by word (frequent words by bigram): a row for each chunk and slot.
 
-def score_documents(spark: SparkSession, docs: DataFrame, targets: DataFrame) -> DataFrame:
+    ``word`` and ``run`` are the words and how many tokens each has, ``pair``
+    five bytes of each token's bigram, ``doc`` its place in ``docs``.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, t in _chunks(batches, marks):
+            pair = _pair(t.before, t.word)
+            here = np.flatnonzero(~_found(known.pairs, pair)[1])
+            if not len(here):
+                continue
+            word, pair, doc = t.word[here], pair[here], t.doc[here]
+            slot = (mix(np.where(_found(known.words, word)[1], pair, word)) >> np.uint64(20)) % np.uint64(slots)
+            order = np.lexsort((word, slot))
+            slot, word, pair, doc = (x[order] for x in (slot, word, pair, doc))
+            numbers, bounds, _ = dealt(slot, [])
+            new = np.append(True, (word[1:] != word[:-1]) | (slot[1:] != slot[:-1]))
+            runs = np.flatnonzero(new)
+            run_bounds = np.searchsorted(runs, bounds)
+            # The documents of each slot, and each token's place among them.
+            present, place = np.unique(slot.astype(np.int64) * len(t.n) + doc, return_inverse=True)
+            doc_bounds = np.searchsorted(present, np.append(numbers.astype(np.int64) * len(t.n), np.iinfo(np.int64).max))
+            place = (place - np.repeat(doc_bounds[:-1], np.diff(bounds))).astype(np.uint16)
+            present %= len(t.n)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(numbers.astype(np.int32)),
+                    column(word[runs], run_bounds),
+                    column(np.diff(np.append(runs, len(word))).astype(np.uint32), run_bounds),
+                    column(pair.view(np.uint8).reshape(-1, 8)[:, :5], bounds),
+                    column(place, bounds),
+                    column(_doc_keys(ids, texts)[present], doc_bounds),
+                    column(t.target[present].astype(np.uint8), doc_bounds),
+                ],
+                ["slot", "word", "run", "pair", "place", "docs", "target"],
+            )
+
+    return source.mapInArrow(lean(deal), "slot int, word binary, run binary, pair binary, place binary, docs binary, target binary")
+
+
+def _slot_losses(table: pa.Table, known: Frequent) -> tuple[np.ndarray, ...]:
+    """(document key, tokens, target, background) sums of one slot's part of each document's losses."""
+    parts = {c: table.column(c).chunks for c in table.column_names}
+    run_word, run = entries(parts["word"], "<u8"), entries(parts["run"], "<u4").astype(np.int64)
+    raw = entries(parts["pair"], "u1").reshape(-1, 5)
+    rest = np.zeros((len(raw), 8), dtype=np.uint8)
+    rest[:, :5] = raw
+    rest = rest.view("<u8").reshape(-1)
+    keys, target = entries(parts["docs"], "<u8"), entries(parts["target"], "u1").astype(bool)
+    held = [len(x) // 8 for c in parts["docs"] for x in c.to_pylist()]
+    tokens = [len(x) // 2 for c in parts["place"] for x in c.to_pylist()]
+    doc = entries(parts["place"], "<u2").astype(np.int64) + np.repeat(np.cumsum(held) - held, tokens)
+    words, of_run = np.unique(run_word, return_inverse=True)
+    word = np.repeat(of_run, run)
+    marked = target[doc]
+    pairs, pair = np.unique(mix(run_word.repeat(run) + rest), return_inverse=True)
+    own = _repeats(pair, doc, len(keys))
+    pair_counts = np.stack([np.bincount(pair, minlength=len(pairs))[pair] - own, np.bincount(pair[marked], minlength=len(pairs))[pair] - own * marked])
+    at, often = _found(known.words, words)
+    word_counts = np.stack([np.bincount(word, minlength=len(words)), np.bincount(word[marked], minlength=len(words))])
+    word_counts[:, often] = known.word_counts[:, at[often]]
+    own = np.where(often[word], 0, _repeats(word, doc, len(keys)))
+    context = np.stack([word_counts[0][word] - own, word_counts[1][word] - own * marked])
+    out = []
+    for above, below in zip(known.numerators(pair_counts, context), known.denominators(context), strict=True):
+        # What follows a frequent word is settled where the document is.
+        out.append(np.bincount(doc, np.where(often[word], 0, below) - above, len(keys)))
+    return keys, np.bincount(doc, minlength=len(keys)), out[0], out[1]
+
+
+def _known_losses(t: Tokens, known: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens left to the slots, target, background): each document's losses as far as the frequent words and bigrams and the starts tell."""
+    size = len(t.n)
+    marked = t.target[t.doc]
+    at, hit = _found(known.pairs, _pair(t.before, t.word))
+    word_at, often = _found(known.words, t.word)
+    out = [np.where(t.n > 0, x, 0) for x in known.denominators(np.stack([known.texts[0] - np.ones(size), known.texts[1] - t.target]))]
+    if hit.any():
+        own = _repeats(at[hit], t.doc[hit], size)
+        # A frequent bigram's word is frequent, and frequent words keep their own occurrences.
+        counts = known.pair_counts[:, at[hit]] - np.stack([own, own * marked[hit]])
+        for k, x in enumerate(known.numerators(counts, known.word_counts[:, word_at[hit]])):
+            out[k] -= np.bincount(t.doc[hit], x, size)
+    follow = often & (t.word != END)
+    if follow.any():
+        for k, x in enumerate(known.denominators(known.word_counts[:, word_at[follow]])):
+            out[k] += np.bincount(t.doc[follow], x, size)
+    return np.bincount(t.doc[~hit], minlength=size), out[0], out[1]
+
+
+def score_documents(spark: SparkSession, docs: DataFrame, targets: DataFrame, *, frequent: float = FREQUENT, slot_tokens: int = SLOT_TOKENS, targets_sent: int = TARGETS_SENT) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score), a row for each row of ``docs``.
 
+    A text's tokens are its words and its end. Left out of the counts that score
+    a document are its own bigrams and, but for frequent words, its own words
+    (as unigrams and as contexts).
     ``targets`` holds the doc_ids of the target corpus; ids unknown to ``docs``,
-    nulls and repeats among them change nothing; without any, the target model
-    is uniform. Null and empty texts have no tokens and null losses. A null
-    doc_id is background and stays null. Repeated rows are counted and scored
-    each. An empty table gives no rows. Other columns are not read.
+    nulls and repeats among them change nothing; without any, both models fall
+    back to the unigram estimate. Texts without words have no tokens and null
+    losses. A null doc_id is background and stays null. Repeated rows are counted
+    and scored each. An empty table gives no rows. Other columns are not read.
     """
-    target, background = train(docs, targets)
+    tmp = Scratch(spark, "lm")
+    source, marks = _marked(docs, targets, tmp, targets_sent)
+    words, pairs, total = _candidates(source, marks, tmp, frequent)
+    known = _frequent(source, marks, words, pairs, frequent)
+    slots = max(1, -(-total // slot_tokens))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in taken(batches, 1):
-            n = np.zeros(batch.num_rows, dtype=np.int64)
-            losses = np.zeros((2, batch.num_rows))
-            for i, g in grams(batch.column(1).to_pylist()):
-                n[i] += len(g)
-                losses[0, i] += target[g].sum(dtype=np.float64)
-                losses[1, i] += background[g].sum(dtype=np.float64)
-            empty = n == 0
-            mean = losses / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *(pa.array(x, pa.float64(), mask=empty) for x in (mean[0], mean[1], mean[0] - mean[1]))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(score, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_slot(batches):
+            keys, n, target, background = _slot_losses(table, known)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(target), pa.array(background)], ["key", "n", "target", "background"])
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, t in _chunks(batches, marks):
+            left, target, background = _known_losses(t, known)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_doc_keys(ids, texts).view(np.int64)), pa.array(t.n), pa.array(left), pa.array(target), pa.array(background)], ["doc_id", "key", "n_tokens", "left", "known_target", "known_background"])
+
+    # Slots are numbered by the corpus's size, so each is a partition's work.
+    routed = _routed(source, marks, known, slots).repartition(slots, "slot").sortWithinPartitions("slot")
+    settled = routed.mapInArrow(lean(settle), "key bigint, n bigint, target double, background double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background"))
+    own = source.mapInArrow(lean(describe), "doc_id bigint, key bigint, n_tokens bigint, left bigint, known_target double, known_background double")
+    # Equal rows share a key, and each has its part of the sums.
+    both = own.join(settled, "key", "left").withColumn("part", F.expr("coalesce(left / n, 0e0)"))
+    loss = "case when n_tokens > 0 then (known_{0} + coalesce({0}, 0e0) * part) / n_tokens end"
+    return both.selectExpr("doc_id", "n_tokens", f"{loss.format('target')} as target_loss", f"{loss.format('background')} as background_loss").withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from terrane.llm import ann, license_scan, lm_score, mixing, queries
+from terrane.llm._text import word_hashes
 
 from .helpers import clashing, empty, odd_docs, prose, sorted_rows, table
 
@@ -165,61 +166,73 @@ def test_mix_table_form_and_odd_rows(spark):
 # Language-model scores.
 
 
-def brute_losses(texts, targets):
-    table_ = lm_score.alphabet()
-
-    def symbols(t):
-        return [34] * 3 + [int(table_[ord(c)]) if ord(c) < len(table_) else 39 for c in (t or "").lower()]
-
-    counts = {}
-    for name, chosen in (("t", targets), ("b", range(len(texts)))):
-        counts[name] = collections.Counter(tuple(s[k : k + 4]) for i in chosen for s in [symbols(texts[i])] for k in range(len(s) - 3))
-    scale = sum(counts["t"].values()) / sum(counts["b"].values())
+def brute_losses(texts, targets, share):
+    """(tokens, target loss, background loss) by the definition; the start is a context only."""
+    docs = []
+    for x in texts:
+        words = [int(v) for _, h in word_hashes([x]) for v in h]
+        docs.append([*words, "end"] if words else [])
+    pairs = {n: collections.Counter() for n in "bt"}
+    words = {n: collections.Counter() for n in "bt"}
+    for i, d in enumerate(docs):
+        for n in "bt" if i in targets else "b":
+            pairs[n].update(zip(["start", *d], d, strict=False))
+            words[n].update([*d, "start"] if d else [])
+    total = {n: sum(v for w, v in words[n].items() if w != "start") for n in "bt"}
+    scale = total["t"] / total["b"] if total["t"] else 1.0
+    prior = lm_score.PRIOR
     out = []
-    sums = {n: [collections.Counter() for _ in range(5)] for n in counts}
-    for n, c in counts.items():
-        for gram, v in c.items():
-            for order in range(1, 5):
-                sums[n][order][gram[4 - order :]] += v
-
-    def p(n, gram, order, factor):
-        shorter = 1 / 40 if order == 1 else p(n, gram, order - 1, factor)
-        have = sums[n][order][gram[4 - order :]] * factor
-        context = sum(sums[n][order][(*gram[4 - order : 3], x)] for x in range(40)) * factor
-        return (have + lm_score.PRIOR * shorter) / (context + lm_score.PRIOR)
-
-    for t in texts:
-        s = symbols(t)
-        grams = [tuple(s[k : k + 4]) for k in range(len(s) - 3)]
-        out.append(tuple(-sum(math.log(p(n, x, 4, f)) for x in grams) / len(grams) for n, f in (("t", 1.0), ("b", scale))) if grams else None)
+    for i, d in enumerate(docs):
+        losses = [0.0, 0.0]
+        own_words, own_pairs = collections.Counter([*d, "start"]), collections.Counter(zip(["start", *d], d, strict=False))
+
+        def left(n, w, i=i, own_words=own_words):
+            common = w == "end" or (w != "start" and words["b"][w] >= share * total["b"])
+            return words[n][w] - (0 if common or (n == "t" and i not in targets) else own_words[w])
+
+        for pair in zip(["start", *d], d, strict=False):
+            before, word = pair
+            base = (left("b", word) + prior * lm_score.UNSEEN) / (total["b"] + prior)
+            for k, (n, s) in enumerate((("t", 1.0), ("b", scale))):
+                shorter = (s * left(n, word) + prior * base) / (s * total[n] + prior)
+                seen = pairs[n][pair] - (own_pairs[pair] if n == "b" or i in targets else 0)
+                losses[k] -= math.log((s * seen + prior * shorter) / (s * left(n, before) + prior))
+        out.append((len(d), *(x / len(d) for x in losses)) if d else None)
     return out
 
 
-def test_losses_match_brute_force(spark):
-    texts = [prose(k, 12) for k in range(8)] + ["Ünïcode, 日本 42!\n", None, ""]
+@pytest.mark.parametrize(("share", "slot_tokens", "sent"), [(1e-3, 2_000_000, 1000), (1e-2, 300, 0), (0.5, 300, 1000)])
+def test_losses_match_brute_force(spark, share, slot_tokens, sent):
+    texts = [prose(k, 60) for k in range(30)] + [prose(3, 60), prose(4, 60) + " more", "日本語 42 ก x", "Ünïcode, 42!\n", None, "", "a a a a b a a"]
     docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
-    targets = spark.createDataFrame([(0,), (1,), (1,), (8,), (77,), (None,)], "doc_id long")
-    want = brute_losses(texts, [0, 1, 8])
-    for r in lm_score.score_documents(spark, docs, targets).collect():
+    targets = spark.createDataFrame([(0,), (1,), (1,), (3,), (36,), (77,), (None,)], "doc_id long")
+    want = brute_losses([*texts[:32], "日 本 語 42 ก x", *texts[33:]], {0, 1, 3, 36}, share)
+    for r in lm_score.score_documents(spark, docs, targets, frequent=share, slot_tokens=slot_tokens, targets_sent=sent).collect():
         if want[r.doc_id] is None:
             assert r.score is None and r.n_tokens == 0
         else:
-            assert (r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id], abs=1e-4)
+            assert (r.n_tokens, r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id], abs=1e-9)
             assert r.score == pytest.approx(r.target_loss - r.background_loss)
 
 
-def test_long_texts_and_odd_rows(spark):
+def test_texts_that_occur_twice_stand_apart(spark):
+    texts = [prose(k, 80, 4000) for k in range(60)] + [prose(k, 80, 4000) for k in range(10)]
+    docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    out = {r.doc_id: r.background_loss for r in lm_score.score_documents(spark, docs, spark.range(20, 30).withColumnRenamed("id", "doc_id")).collect()}
+    twice = [out[i] for i in (*range(10), *range(60, 70))]
+    assert max(twice) < min(out[i] for i in range(10, 60))
+
+
+def test_scores_of_odd_rows(spark):
     long_ = prose(1, 250_000)
-    assert sum(len(g) for _, g in lm_score.grams([long_, "x"])) == len(long_) + 1
-    whole = np.concatenate([g for i, g in lm_score.grams([long_]) if i == 0])
-    assert (whole[lm_score.PIECE - 5 : lm_score.PIECE + 5] == next(iter(lm_score.grams([long_[lm_score.PIECE - 8 : lm_score.PIECE + 5]])))[1][3:]).all()
-    docs, targets = odd_docs(spark), spark.createDataFrame([(1,), (7,)], "doc_id long")
+    docs, targets = odd_docs(spark).union(table(spark, [(70, long_, "en", "s"), (71, "x y " * 40_000, "en", "s")])), spark.createDataFrame([(1,), (7,)], "doc_id long")
     out = lm_score.score_documents(spark, docs, targets).collect()
-    assert len(out) == 11 and {r.doc_id for r in out if r.score is None} == {4, 5}
+    assert len(out) == 13 and {r.doc_id for r in out if r.score is None} == {4, 5, 6} and {r.doc_id: r.n_tokens for r in out}[70] == 250_001
+    assert len({r.score for r in out if r.doc_id == 7}) == 1
     again = lm_score.score_documents(spark, clashing(docs), targets).collect()
-    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, again), key=repr)
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, map(tuple, again)))
     assert lm_score.score_documents(spark, empty(spark), targets).isEmpty()
-    assert len(lm_score.score_documents(spark, docs, targets.limit(0)).collect()) == 11
+    assert len(lm_score.score_documents(spark, docs, targets.limit(0)).collect()) == 13
 
 
 def test_own_kind_scores_lower(spark):

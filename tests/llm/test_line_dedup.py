@@ -1,20 +1,19 @@
 import random
 
-from terrane.llm import line_dedup
-from terrane.llm.line_dedup import MIN_WORDS, dedup_lines, within_one
+from terrane.llm.line_dedup import dedup_lines, near, within_one, words_of
 
 from .helpers import clashing, empty, odd_docs, prose, sorted_rows, table
 
 
 def brute(docs):
-    """{id: text}: a line goes if an earlier one is equal in words or within one word of it."""
+    """{id: text}: a line goes if an earlier one is equal in words or within the bound of it."""
     earlier, out = [], {}
     for i, text in sorted(docs):
         kept = []
         for line in (text or "").split("\n"):
-            w = line_dedup._word_lists(line)
-            gone = any(w == e or (len(w) >= MIN_WORDS and len(e) >= MIN_WORDS and within_one(w, e)) for e in earlier) if w else False
-            earlier.append(w)
+            w = words_of(line)
+            gone = any(w == words_of(e) or near(line, e) for e in earlier) if w else False
+            earlier.append(line)
             if not gone:
                 kept.append(line)
         out[i] = "\n".join(kept)
@@ -23,7 +22,10 @@ def brute(docs):
 
 def edit(line, r):
     w = line.split()
-    kind, at = r.randrange(4), r.randrange(len(w))
+    kind, at = r.randrange(6), r.randrange(len(w))
+    if kind >= 4:
+        at = r.randrange(len(line))
+        return line[:at] + ("" if kind == 4 else r.choice("xy7 ")) + line[at + 1 :]
     if kind == 0:
         w[at] = "changed" + str(r.randrange(99))
     elif kind == 1:
@@ -52,6 +54,20 @@ def test_bound_is_one_word():
     assert not within_one(a, a[2:]) and not within_one(a, ["x", *a[1:-1], "y"]) and not within_one(a, [*a[1:], "x"])
 
 
+def test_short_lines_are_near_by_characters(spark):
+    lines = ["Release notes of May", "Release note of May", "release notes, of Mxy", "Chapter 11 of it", "Chapter 12 of it", "short one", "short ones", "Relase notes of May", "data base systems", "database systems"]
+    got = dedup_lines(spark, table(spark, [(i, x, "en", "s") for i, x in enumerate(lines)])).collect()
+    assert {r.doc_id for r in got if r.lines_removed} == {1, 2, 7, 9}
+    assert {r.doc_id: r.text for r in got} == brute(list(enumerate(lines)))
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = "the first line here\n" + prose(1, 12), prose(2, 12) + "\n" + prose(1, 12)
+    docs = [(1, a, "en", "s"), (1, b, "en", "s"), (1, a, "en", "s"), (2, prose(1, 12), "en", "s")]
+    got = sorted((r.doc_id, r.text) for r in dedup_lines(spark, table(spark, docs)).collect())
+    assert got == sorted([(1, a), (1, b), (1, a), (2, "")])
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     out = {r.doc_id: r for r in dedup_lines(spark, docs).collect()}

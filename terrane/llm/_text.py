@@ -78,6 +78,22 @@ def _segments(blob: bytes) -> Iterator[bytes]:
         at = end
 
 
+def word_hash_run(blob: bytes) -> np.ndarray:
+    """The word hashes of a lower-cased blob of any length."""
+    if len(blob) <= SEGMENT:
+        return hash_blob(blob)[0]
+    return np.concatenate([hash_blob(x)[0] for x in _segments(blob)])
+
+
+def words_and_places(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of a lower-cased blob with their starts and ends."""
+    inside = np.zeros(len(blob) + 2, dtype=np.int8)
+    inside[1:-1] = _WORD_BYTE[np.frombuffer(blob, dtype=np.uint8)]
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    return [blob[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], starts, ends
+
+
 def word_hashes(texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray]]:
     """(index, word hashes) of each text in order; a null text has no words."""
     pending: list[bytes] = []
@@ -100,7 +116,7 @@ def word_hashes(texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray]]:
         if not pending:
             first = i
         if len(blob) > SEGMENT:
-            yield i, np.concatenate([hash_blob(x)[0] for x in _segments(blob)])
+            yield i, word_hash_run(blob)
             continue
         pending.append(blob)
         size += len(blob) + 1

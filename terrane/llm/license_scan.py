@@ -1,36 +1,38 @@
 """License scans by conditional compression.
 
-Blocks of lines around licensing terms are compressed with zstandard, plainly
-and with each template as a raw dictionary; the templates are ranked by the
-bytes they save, and a winner is confirmed by its exact wording differences.
-The bytes only rank: in a large block a notice can cost bytes and is confirmed all the same.
+Candidate blocks are found by runs of a template's words: whatever differs from
+a template in no more words than allowed holds a run of its words, so nothing is
+lost by that, however the text is wrapped. A block is compressed with zstandard,
+plainly and with each template as a raw dictionary; the templates are ranked by
+the bytes they save, and winners are confirmed by their exact wording
+differences, at every place that their runs give. The bytes only rank: in a
+large block a notice can cost bytes and is confirmed all the same.
 """
 
 from __future__ import annotations
 
-import re
+import bisect
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from ._text import taken
+from ._memory import lean
+from ._text import hash_blob, shingle_hashes, taken, word_hash_run, words_and_places
 
-#: A line with one of these, in any case, is a candidate.
-TERMS = ("licen", "copyright", "all rights reserved", "permission is hereby", "permission to use", "redistribution and use", "public domain", "spdx")
-#: Lines before and after those with terms that belong to a block.
-AROUND = 6
 #: Differing words that a template of so many words may have (one in ten, rounded down).
 TOLERANCE = 0.1
 #: Words that tell licenses apart: none of them may differ, nor a word with a digit.
 TELLING = frozenset("mit apache gnu lesser affero bsd isc mozilla creative commons attribution noncommercial sharealike noderivatives nc sa nd by zero cc0 unlicense boost mpl gpl lgpl agpl not without".split())
+#: Words of a run that is looked for, where the template's guaranteed run is not shorter.
+RUN = 6
+#: Words of a block at most; a longer stretch of candidates is several blocks.
+BLOCK_WORDS = 1024
 LEVEL = 3
 
-_WORD = re.compile(r"[a-z0-9]+(?:[.-][0-9]+)*")
-
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 _GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
 
@@ -60,7 +62,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of ASCII letters, digits and non-ASCII characters of the lower-cased text, as in `_text`."""
+    blob = text.lower().encode("utf-8", "surrogatepass")
+    return [w.decode("utf-8", "surrogatepass") for w in words_and_places(blob)[0]]
 
 
 @dataclass(frozen=True)
@@ -74,85 +78,188 @@ class Finding:
     wording: str
 
 
-def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(first line, text) of each run of lines with terms, with AROUND lines on either side; runs that meet are one."""
-    low = text.lower()
-    if not any(t in low for t in TERMS):
-        return
-    lines = text.split("\n")
-    hits = [k for k, line in enumerate(lines) if any(t in (x := line.lower()) for t in TERMS)]
-    runs: list[list[int]] = []
-    for k in hits:
-        if runs and k - AROUND <= runs[-1][1]:
-            runs[-1][1] = k + AROUND + 1
+@dataclass(frozen=True)
+class Place:
+    """A confirmed template: words ``start`` to ``end`` of a text."""
+
+    template: int
+    start: int
+    end: int
+    differences: tuple[str, ...]
+
+
+def allowed(n: int) -> int:
+    """Words missing, or added, that a template of ``n`` words may have at most."""
+    return int(n * TOLERANCE)
+
+
+def guaranteed(n: int) -> int:
+    """Words of the longest run that a place with no more differences than allowed must hold."""
+    d = allowed(n)
+    return -(-(n - d) // (2 * d + 1))
+
+
+def aligned(want: Sequence[str], found: Sequence[str]) -> tuple[int, int, int, list[tuple[int, int]]]:
+    """(edits, start, end, equal pairs) of the cheapest alignment of all of ``want`` with a stretch of ``found``.
+
+    A word missing or added costs 1; of equal costs the latest start, then the
+    shortest stretch counts.
+    """
+    n, m = len(want), len(found)
+    codes: dict[str, int] = {}
+    a = np.array([codes.setdefault(w, len(codes)) for w in want])
+    b = np.array([codes.setdefault(w, len(codes)) for w in found])
+    # cost * (m + 1) - start, so that one minimum settles both.
+    scale = m + 1
+    rows = [-np.arange(m + 1)]
+    for i in range(n):
+        last = rows[-1]
+        row = last + scale
+        same = b == a[i]
+        row[1:][same] = np.minimum(row[1:][same], last[:-1][same])
+        steps = np.arange(m + 1) * scale
+        rows.append(np.minimum.accumulate(row - steps) + steps)
+    end = int(np.argmin(rows[-1]))
+    best = int(rows[-1][end])
+    cost = -(-best // scale)
+    start = cost * scale - best
+    pairs, i, j = [], n, end
+    while i:
+        if j and a[i - 1] == b[j - 1] and rows[i][j] == rows[i - 1][j - 1]:
+            pairs.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif rows[i][j] == rows[i - 1][j] + scale:
+            i -= 1
         else:
-            runs.append([max(0, k - AROUND), k + AROUND + 1])
-    for first, end in runs:
-        yield first, "\n".join(lines[first:end])
+            j -= 1
+    return cost, start, end, pairs[::-1]
 
 
 class Scanner:
-    """Compressors for a set of templates; build one for a task and scan many texts."""
+    """Compressors and word runs of a set of templates; build one for a task and scan many texts."""
 
     def __init__(self, templates: Sequence[tuple[str, str]] = TEMPLATES):
         self.templates = [(name, words(wording)) for name, wording in templates]
-        self.wanted = [frozenset(w) for _, w in self.templates]
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
-        self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, w in self.templates]
+        self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, w in self.templates]
+        # By length of run: its hash, template and place in it.
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for t, (_, w) in enumerate(self.templates):
+            if w:
+                size = min(RUN, guaranteed(len(w)), len(w))
+                hashes = hash_blob(" ".join(w).encode("utf-8", "surrogatepass"))[0]
+                found.setdefault(size, []).extend((int(h), t, k) for k, h in enumerate(shingle_hashes(hashes, size)))
+        for size, rows in found.items():
+            rows.sort()
+            self.runs[size] = (np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
 
-    def ranked(self, block: str) -> tuple[int, list[tuple[int, int]]]:
-        """The block's plain size and (bytes saved, template) of all, most first, ties to the longer then the earlier template."""
-        raw = block.encode("utf-8", "surrogatepass")
-        size = len(self.plain.compress(raw))
-        saved = [(size - len(c.compress(raw)), k) for k, c in enumerate(self.given)]
-        return size, sorted(saved, key=lambda x: (-x[0], -len(self.templates[x[1]][1]), x[1]))
+    def offsets(self, hashes: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(template, word places at which it would begin), by the runs that a text has."""
+        out: dict[int, set[int]] = {}
+        for size, (keys, template, place) in self.runs.items():
+            if len(hashes) < size:
+                continue
+            text = shingle_hashes(hashes, size)
+            at = np.flatnonzero(np.isin(text, keys))
+            low, high = np.searchsorted(keys, text[at]), np.searchsorted(keys, text[at], side="right")
+            for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+                for k in range(a, b):
+                    out.setdefault(int(template[k]), set()).add(p - int(place[k]))
+        for t in sorted(out):
+            yield t, sorted(out[t])
 
-    def confirm(self, template: int, found: list[str]) -> tuple[int, int, list[str]] | None:
-        """(first word, end word, differences) of the template's place among the words, None if its wording differs too much."""
+    def confirm(self, template: int, found: Sequence[str], low: int, high: int) -> Place | None:
+        """The template's place among words ``low`` to ``high``, None if its wording differs too much."""
         want = self.templates[template][1]
-        slack = int(len(want) * TOLERANCE)
-        anchor = SequenceMatcher(None, want, found, autojunk=False).find_longest_match()
-        if not anchor.size:
+        n = len(want)
+        for at in range(low, high - n + 1):
+            if found[at] == want[0] and found[at : at + n] == want:
+                return Place(template, at, at + n, ())
+        _, start, end, pairs = aligned(want, found[low:high])
+        if not pairs:
             return None
-        low = max(0, anchor.b - anchor.a - slack)
-        high = min(len(found), anchor.b - anchor.a + len(want) + slack)
-        match = SequenceMatcher(None, want, found[low:high], autojunk=False)
-        same = [m for m in match.get_matching_blocks() if m.size]
-        start, end = low + same[0].b, low + same[-1].b + same[-1].size
-        differences = []
-        for kind, a0, a1, b0, b1 in SequenceMatcher(None, want, found[start:end], autojunk=False).get_opcodes():
-            if kind != "equal":
-                differences += [f"-{x}" for x in want[a0:a1]] + [f"+{x}" for x in found[start:end][b0:b1]]
-        changed = max(sum(x[0] == "-" for x in differences), sum(x[0] == "+" for x in differences))
-        telling = any(x[1:] in TELLING or any(c.isdigit() for c in x) for x in differences)
-        return None if changed > slack or telling else (start, end, differences)
+        kept, held = {i for i, _ in pairs}, {j for _, j in pairs}
+        missing = [want[i] for i in range(len(want)) if i not in kept]
+        added = [found[low + j] for j in range(start, end) if j not in held]
+        if max(len(missing), len(added)) > allowed(len(want)) or any(w in TELLING or any(c.isdigit() for c in w) for w in (*missing, *added)):
+            return None
+        return Place(template, low + start, low + end, (*(f"-{w}" for w in missing), *(f"+{w}" for w in added)))
 
-    def scan(self, text: str | None) -> list[Finding]:
-        """Every confirmed template of a whole text, in the order of its blocks; a winner's words are taken out and the rest is ranked again.
+    def candidates(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(low, high, template) of the stretches that may hold a template, by their runs.
 
-        A confirmed template whose place lies within that of another is not the winner.
+        Beginnings that allowed differences can have moved apart are one candidate.
         """
         out = []
-        for line, block in blocks(text or ""):
-            rest = block.lower()
-            while True:
-                found = words(rest)
-                spans = [m.span() for m in _WORD.finditer(rest)]
-                size, order = self.ranked(" ".join(found))
-                known = set(found)
-                places = [(rank, saved, k, place) for rank, (saved, k) in enumerate(order, 1) if len(self.wanted[k] - known) <= int(len(self.templates[k][1]) * TOLERANCE) and (place := self.confirm(k, found))]
-                if not places:
-                    break
-                rank, saved, k, place = places[0]
-                for other in places[1:]:
-                    if other[3][0] <= place[0] and place[1] <= other[3][1] and other[3][:2] != place[:2]:
-                        rank, saved, k, place = other
-                low, high = spans[place[0]][0], spans[place[1] - 1][1]
-                out.append(Finding(self.templates[k][0], line + rest[:low].count("\n"), size, saved, rank, place[2], rest[low:high]))
-                rest = rest[:low] + re.sub(r"[^\n]", " ", rest[low:high]) + rest[high:]
+        for t, starts in self.offsets(hashes):
+            n, slack, done = len(self.templates[t][1]), allowed(len(self.templates[t][1])), None
+            for s in starts:
+                if done is None or s > done:
+                    done = s + slack
+                    out.append((max(0, s - slack), min(len(hashes), s + n + 3 * slack), t))
+        return sorted(out)
+
+    def ranked(self, block: str) -> tuple[int, dict[int, tuple[int, int]]]:
+        """The block's plain size and each template's (bytes saved, rank): most first, ties to the longer then the earlier template."""
+        raw = block.encode("utf-8", "surrogatepass")
+        size = len(self.plain.compress(raw))
+        saved = [size - len(c.compress(raw)) for c in self.given]
+        order = sorted(range(len(saved)), key=lambda k: (-saved[k], -len(self.templates[k][1]), k))
+        return size, {k: (saved[k], rank) for rank, k in enumerate(order, 1)}
+
+    def scan(self, text: str | None) -> list[Finding]:
+        """Every license of a whole text, in order. A confirmed place within that of another is not a winner; of places that overlap otherwise the better ranked wins."""
+        blob = (text or "").lower().encode("utf-8", "surrogatepass")
+        hashes = word_hash_run(blob)
+        if not any(len(hashes) >= size and np.isin(shingle_hashes(hashes, size), keys).any() for size, (keys, _, _) in self.runs.items()):
+            return []
+        raw, starts, ends = words_and_places(blob)
+        found = [w.decode("utf-8", "surrogatepass") for w in raw]
+        won: dict[Place, tuple[int, int, int]] = {}
+        for block in _blocks(self.candidates(hashes)):
+            size, rank = self.ranked(" ".join(found[block[0][0] : max(high for _, high, _ in block)]))
+            for low, high, t in sorted(block, key=lambda c: (rank[c[2]][1], c[0])):
+                place = self.confirm(t, found, low, high)
+                if place:
+                    won.setdefault(place, (size, *rank[t]))
+        lines = np.flatnonzero(np.frombuffer(blob, dtype=np.uint8) == 10)
+        out = []
+        for p in _winners({p: rank for p, (_, _, rank) in won.items()}):
+            low, high = int(starts[p.start]), int(ends[p.end - 1])
+            out.append(Finding(self.templates[p.template][0], int(np.searchsorted(lines, low)), *won[p], list(p.differences), blob[low:high].decode("utf-8", "replace")))
         return out
 
 
+def _blocks(candidates: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Neighbouring candidates, in order, as long as they begin within BLOCK_WORDS words."""
+    block: list[tuple[int, int, int]] = []
+    for c in candidates:
+        if block and c[0] >= block[0][0] + BLOCK_WORDS:
+            yield block
+            block = []
+        block.append(c)
+    if block:
+        yield block
+
+
+def _winners(ranks: dict[Place, int]) -> list[Place]:
+    """Places in order: none within a longer one; of those that overlap otherwise the better ranked, then the earlier."""
+    order = sorted(ranks, key=lambda p: (p.start, -p.end, ranks[p]))
+    # Of places in order of their starts, one lies within another if an earlier one ends later.
+    whole, reach = [], -1
+    for p in order:
+        if p.end > reach or (whole and (p.start, p.end) == (whole[-1].start, whole[-1].end)):
+            whole.append(p)
+        reach = max(reach, p.end)
+    taken_: list[tuple[int, int, Place]] = []
+    for p in sorted(whole, key=lambda p: (ranks[p], p.start, p.template)):
+        at = bisect.bisect_left(taken_, p.start, key=lambda x: x[0])
+        if (at == 0 or taken_[at - 1][1] <= p.start) and (at == len(taken_) or p.end <= taken_[at][0]):
+            taken_.insert(at, (p.start, p.end, p))
+    return [p for _, _, p in taken_]
+
+
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """A row for each license found: doc_id, license, line, plain_bytes, saved_bytes, rank, differences, wording.
 
@@ -183,4 +290,4 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
                 }
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(work), schema)

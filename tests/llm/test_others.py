@@ -1,6 +1,9 @@
 import collections
 import math
 import os
+import random
+import textwrap
+import time
 
 import duckdb
 import numpy as np
@@ -122,6 +125,71 @@ def test_notices_in_a_long_line_are_found():
         assert [(f.license, f.differences) for f in scanner.scan(text)] == [(name, [])], notice
 
 
+def test_notices_are_found_at_any_width_and_after_decoys():
+    scanner = license_scan.Scanner()
+    mit, isc = license_scan.TEMPLATES[0][1], next(w for n, w in license_scan.TEMPLATES if n == "ISC")
+    for width in (*range(10, 81, 7), 80):
+        text = f"{prose(41, 50)}\n{textwrap.fill(mit, width, break_long_words=False, break_on_hyphens=False)}\n{prose(42, 50)}"
+        assert [(f.license, f.differences) for f in scanner.scan(text)] == [("MIT", [])], width
+    decoy = " ".join(isc.split()[:22])
+    found = scanner.scan(f"{decoy}. {prose(43, 10)} {isc.replace('purpose', 'aim')}")
+    assert [(f.license, f.differences) for f in found] == [("ISC", ["-purpose", "+aim"])]
+
+
+def edit_distance(want, found):
+    """The fewest words missing from ``want`` plus added by ``found``, whole against whole."""
+    last = list(range(len(found) + 1))
+    for i, w in enumerate(want, 1):
+        row = [i]
+        for j, f in enumerate(found, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] if w == f else len(want) + len(found)))
+        last = row
+    return last[-1]
+
+
+def test_places_match_brute_force():
+    """Every template against every stretch: what is near without a telling word is found, and nothing else."""
+    r = random.Random(4)
+    templates = [(f"T{k}", prose(500 + k, n, 1).replace("0", "x")) for k, n in enumerate((3, 8, 12, 25, 40))]
+    scanner = license_scan.Scanner(templates)
+    for _ in range(40):
+        parts, planted = [], []
+        for _ in range(3):
+            k = r.randrange(5)
+            words = templates[k][1].split()
+            for _ in range(r.randrange(5)):
+                at = r.randrange(len(words))
+                words[at : at + r.randrange(2)] = [f"odd{'abcdefg'[r.randrange(7)]}"] * r.randrange(3)
+            parts += [prose(r.randrange(10**6), r.randrange(4)), " ".join(words)]
+            planted.append(k)
+        found = license_scan.words("\n".join(parts))
+        want = set()
+        for k, (name, wording) in enumerate(templates):
+            w = license_scan.words(wording)
+            d = license_scan.allowed(len(w))
+            near = [(edit_distance(w, found[i:j]), i, j) for i in range(len(found)) for j in range(max(i + 1, i + len(w) - d), min(len(found), i + len(w) + d) + 1)]
+            want |= {name for cost, _, _ in near if cost <= d}
+        got = {f.license for f in scanner.scan("\n".join(parts))}
+        # Costs up to d are certain; up to d missing and d added words may be found as well.
+        assert want <= got
+        for f in scanner.scan("\n".join(parts)):
+            w = license_scan.words(dict(templates)[f.license])
+            missing, added = ([x[1:] for x in f.differences if x[0] == s] for s in "-+")
+            assert max(len(missing), len(added)) <= license_scan.allowed(len(w))
+            assert edit_distance(w, license_scan.words(f.wording)) == len(missing) + len(added)
+            assert collections.Counter(w) - collections.Counter(license_scan.words(f.wording)) <= collections.Counter(missing)
+
+
+def test_many_notices_take_linear_time():
+    scanner = license_scan.Scanner()
+    took = []
+    for n in (1000, 4000):
+        began = time.process_time()
+        assert len(scanner.scan("All rights reserved.\n" * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_license_odd_rows(spark):
     docs = odd_docs(spark).union(table(spark, [(50, "Released under the MIT License. " * 300, None, None), (None, "All rights reserved.", "en", "s")]))
     out = license_scan.scan_licenses(docs).collect()

@@ -9,10 +9,9 @@ number of pieces however the lengths, sources or copies are spread.
 
 from __future__ import annotations
 
-import base64
-import sys
+import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._memory import lean
 from ._store import Scratch
 from ._text import taken
 
@@ -27,69 +27,56 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces shorter than a sequence that a block has on average.
 BLOCK_PIECES = 16384
-#: Rounds over the underfull bins at most; each exchange raises the sum of squares, so any number ends.
-PASSES = 4
-#: Distinct words that a worker remembers the ids of.
-REMEMBERED = 400_000
+#: Characters that are encoded at a time; a longer text is cut where the vocabulary's pattern always cuts.
+PART = 1 << 18
 
-_LATIN_END = "ɏ"
+#: A space between two letters: a word with its space begins there.
+_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
-class WordTokenizer:
-    """The ids of a byte-level BPE vocabulary as little-endian uint32 bytes, word by word.
+def parts(text: str, size: int = PART) -> list[str]:
+    """The text in pieces whose ids, one after the other, are the text's."""
+    out, at = [], 0
+    while len(text) - at > size:
+        found = _CUT.search(text, at + size)
+        if not found:
+            break
+        out.append(text[at : found.start()])
+        at = found.start()
+    return [*out, text[at:]]
 
-    A text is cut where a single space or line feed stands between other
-    characters: the vocabulary's pattern always cuts there, so words are encoded
-    apart and remembered. Texts with any other white space, with a special
-    token's string, with a null character or with characters beyond the Latin
-    blocks go through the tokenizer file as a whole.
-    """
 
-    def __init__(self, path: str, ranks_path: str, pattern: str):
-        import re
+class TextTokenizer:
+    """The ids of a tokenizer file as little-endian uint32 bytes, one thread to a worker."""
 
-        import tiktoken
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.specials = [x.content for x in self.whole.get_added_tokens_decoder().values()]
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile(r"\s\s|^\s|\s$|[^\S \n]|[^\x00-" + _LATIN_END + "]")
-        piece, any_text = self.encoding._core_bpe.encode_single_piece, self.encoding.encode_ordinary
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                letters = word[1:] if word[:1] == " " else word
-                if letters.isalpha():
-                    ids = array("I", piece(word.encode())).tobytes()
-                elif letters[-1:] in (".", ",") and letters[:-1].isalpha():
-                    ids = self[word[:-1]] + self[word[-1]]
-                else:
-                    ids = array("I", any_text(word)).tobytes()
-                if len(self) < REMEMBERED and len(word) <= 48:
-                    self[word] = ids
-                return ids
-
-        self.words = Words()
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if "\0" in text or sys.byteorder != "little" or self.odd.search(text) or any(x in text for x in self.specials):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
-
-
-_LOADED: dict[tuple[str, str], WordTokenizer] = {}
-
-
-def tokenizer(path: str, ranks_path: str, pattern: str) -> WordTokenizer:
+
+    def ids(self, texts: Sequence[str]) -> Iterator[bytes]:
+        """The ids of each text in order, about PART characters encoded at a time."""
+        lot: list[list[str]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            lot.append(parts(text))
+            size += len(text)
+            if size >= PART or k == len(texts) - 1:
+                found = iter(self.whole.encode_batch_fast([x for own in lot for x in own], add_special_tokens=False))
+                for own in lot:
+                    yield b"".join(np.array(next(found).ids, dtype="<u4").tobytes() for _ in own)
+                lot, size = [], 0
+
+
+_LOADED: dict[str, TextTokenizer] = {}
+
+
+def tokenizer(path: str) -> TextTokenizer:
     """One per worker process, kept between tasks."""
-    if (path, ranks_path) not in _LOADED:
-        _LOADED[path, ranks_path] = WordTokenizer(path, ranks_path, pattern)
-    return _LOADED[path, ranks_path]
+    if path not in _LOADED:
+        _LOADED[path] = TextTokenizer(path)
+    return _LOADED[path]
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -98,8 +85,8 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def pack(lengths: Sequence[int], capacity: int = CAPACITY, passes: int = PASSES) -> np.ndarray:
-    """The bin of each length, numbered from 0; ties keep the earlier."""
+def pack(lengths: Sequence[int], capacity: int = CAPACITY, *, search: bool = True) -> np.ndarray:
+    """The bin of each length, numbered from 0; ties keep the earlier. Without ``search`` best-fit decreasing alone."""
     size = np.asarray(lengths, dtype=np.int64)
     n = len(size)
     if not n:
@@ -127,13 +114,14 @@ def pack(lengths: Sequence[int], capacity: int = CAPACITY, passes: int = PASSES)
             open_bins[room - s].append(b)
             free_mask |= 1 << (room - s)
     fill = np.bincount(bin_of, weights=size, minlength=len(members)).astype(np.int64)
-    _search(size, bin_of, members, fill, capacity, passes)
+    if search:
+        _search(size, bin_of, members, fill, capacity)
     _, out = np.unique(bin_of, return_inverse=True)
     return out
 
 
-def _search(size: np.ndarray, bin_of: np.ndarray, members: list[list[int]], fill: np.ndarray, capacity: int, passes: int) -> None:
-    """Exchanges out of ever fuller bins; each raises the sum of squared fills."""
+def _search(size: np.ndarray, bin_of: np.ndarray, members: list[list[int]], fill: np.ndarray, capacity: int) -> None:
+    """Exchanges out of ever fuller bins until none helps; each raises the sum of squared fills, so they end."""
 
     def place(i: int, b: int) -> None:
         members[bin_of[i]].remove(i)
@@ -142,13 +130,26 @@ def _search(size: np.ndarray, bin_of: np.ndarray, members: list[list[int]], fill
         fill[b] += size[i]
         bin_of[i] = b
 
-    for _ in range(passes):
+    def chosen_of(b: int, copies: int) -> list[int]:
+        """The members of a bin, of equal sizes ``copies`` at most: any other exchange is one of theirs."""
+        seen: dict[int, int] = {}
+        out = []
+        for i in members[b]:
+            s = int(size[i])
+            if seen.setdefault(s, 0) < copies:
+                seen[s] += 1
+                out.append(i)
+        return out
+
+    changed = True
+    while changed:
         changed = False
         under = np.flatnonzero((fill > 0) & (fill < capacity))
         if len(under) < 2:
             return
-        items = np.flatnonzero(np.isin(bin_of, under))
-        pairs = np.array([(i, j) for b in under.tolist() for k, i in enumerate(members[b][:12]) for j in members[b][:k]], dtype=np.int64).reshape(-1, 2)
+        items = np.array([i for b in under.tolist() for i in chosen_of(b, 1)], dtype=np.int64)
+        twos = [np.array(chosen_of(b, 2), dtype=np.int64) for b in under.tolist()]
+        pairs = np.concatenate([own[np.stack(np.triu_indices(len(own), 1), axis=1)] for own in twos])
         for donor in under[np.argsort(fill[under], kind="stable")].tolist():
             for x in sorted(members[donor], key=lambda i: -size[i]):
                 if bin_of[x] != donor:
@@ -183,7 +184,7 @@ def _search(size: np.ndarray, bin_of: np.ndarray, members: list[list[int]], fill
                     changed = True
                     continue
                 # Two for one: x with each other document of its bin.
-                for z in members[donor][:12]:
+                for z in chosen_of(donor, 2):
                     if z == x:
                         continue
                     home = bin_of[items]
@@ -197,19 +198,17 @@ def _search(size: np.ndarray, bin_of: np.ndarray, members: list[list[int]], fill
                         place(y, donor)
                         changed = True
                         break
-        if not changed:
-            return
 
 
-def _pieces(docs: DataFrame, path: str, ranks_path: str, pattern: str, capacity: int, end_id: int) -> DataFrame:
+def _pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = tokenizer(path, ranks_path, pattern)
+        words = tokenizer(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         n = 0
         for batch in taken(batches, 1):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.ids(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), words.ids([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+                ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
                 n += 1
@@ -217,10 +216,10 @@ def _pieces(docs: DataFrame, path: str, ranks_path: str, pattern: str, capacity:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return docs.mapInArrow(split, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row bigint")
+    return docs.mapInArrow(lean(split), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row bigint")
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, *, tokenizer_path: str | None = None, ranks_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, *, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
 
     A null text is empty and has the end id alone. Only documents of more than
@@ -228,14 +227,14 @@ def pack_documents(spark: SparkSession, docs: DataFrame, *, tokenizer_path: str
     sequences of their own; all others are packed in blocks of about
     ``block_pieces`` dealt by hash, each block a bounded task. Repeated rows
     are packed once for each row. A null doc_id stays null. An empty table
-    gives no rows. Other columns are not read. The vocabulary's files are
-    parameters; by default those of the installed public tokenizers.
+    gives no rows. Other columns are not read. The tokenizer's file is a
+    parameter; by default one of the installed public tokenizers.
     """
     import public_tokenizers
 
     tmp = Scratch(spark, "packing")
     source = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    pieces = tmp.keep(_pieces(source, tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, capacity, end_id), "pieces")
+    pieces = tmp.keep(_pieces(source, tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), capacity, end_id), "pieces")
     short = pieces.where(F.col("length") < capacity)
     blocks = max(1, round(short.count() / block_pieces))
     dealt = short.withColumn("block", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32, row), {blocks})"))

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import zlib
 
 import numpy as np
@@ -6,11 +7,11 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from terrane.llm.packing import CAPACITY, cut, pack, pack_documents, tokenizer
+from terrane.llm.packing import CAPACITY, cut, pack, pack_documents, parts, tokenizer
 
 from .helpers import clashing, empty, odd_docs, prose, sorted_rows, table
 
-WORDS = tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+WORDS = tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def whole(text):
@@ -21,7 +22,15 @@ def whole(text):
 @given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from([" ", "\n", "the", "Word", "don't", "é", "ß", "12", ".", ",", "!?", "  ", "\t", "\x00", "<|endoftext|>", "日", "\xa0", "²"]), max_size=20).map("".join)))
 def test_ids_equal_the_tokenizer_files(text):
     text = text.encode("utf-8", "ignore").decode()
-    assert WORDS.ids(text) == whole(text)
+    assert next(WORDS.ids([text])) == whole(text)
+    cut_up = parts(text * 3, 7)
+    assert "".join(cut_up) == text * 3
+    assert b"".join(WORDS.ids(cut_up)) == whole(text * 3)
+
+
+def test_long_texts_have_the_whole_texts_ids():
+    text = prose(5, 120_000)
+    assert len(parts(text)) > 1 and list(WORDS.ids(["a", text, ""])) == [whole("a"), whole(text), b""]
 
 
 def test_cut():
@@ -42,16 +51,49 @@ def test_bins_hold_and_are_few(lengths):
 def test_search_beats_best_fit():
     # Best-fit decreasing needs four bins here; exchanges find the three.
     lengths = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6]
-    assert sum(lengths) == 180 and pack(lengths, 60).max() + 1 <= pack(lengths, 60, passes=0).max() + 1
+    assert sum(lengths) == 180 and pack(lengths, 60).max() + 1 <= pack(lengths, 60, search=False).max() + 1
     r = np.random.default_rng(1)
     plain = searched = 0
     for _ in range(40):
         x = r.integers(200, 500, 200)
-        plain += pack(x, 1024, passes=0).max() + 1
+        plain += pack(x, 1024, search=False).max() + 1
         searched += pack(x, 1024).max() + 1
     assert searched < plain
 
 
+def helping_exchange(sizes, bins, capacity):
+    """Any move, one-for-one or two-for-one exchange that raises the sum of squared fills."""
+    fill = collections.Counter()
+    for s, b in zip(sizes, bins, strict=True):
+        fill[b] += s
+    own = collections.defaultdict(list)
+    for i, b in enumerate(bins):
+        own[b].append(i)
+    gives = {b: [(), *((i,) for i in x), *itertools.combinations(x, 2)] for b, x in own.items()}
+    for a, b in itertools.permutations(own, 2):
+        for x in gives[a]:
+            for y in gives[b]:
+                if (len(x), len(y)) in ((1, 0), (1, 1), (2, 1), (1, 2)):
+                    gain = sum(sizes[i] for i in x) - sum(sizes[i] for i in y)
+                    if 0 < gain <= capacity - fill[b] and fill[b] + gain > fill[a]:
+                        return x, y
+    return None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=24))
+def test_search_ends_only_where_no_exchange_helps(sizes):
+    bins = pack(sizes, 60).tolist()
+    assert helping_exchange(sizes, bins, 60) is None
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(5, 60), min_size=1, max_size=7))
+def test_bins_of_few_documents_are_near_the_least(sizes):
+    least = next(k for k in range(1, 8) if any(all(sum(s for s, b in zip(sizes, way, strict=True) if b == j) <= 60 for j in range(k)) for way in itertools.product(range(k), repeat=len(sizes))))
+    assert least <= pack(sizes, 60).max() + 1 <= least + 1
+
+
 def check(rows, texts):
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:

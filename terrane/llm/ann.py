@@ -2,8 +2,10 @@
 
 A shard's graph is stored as flat neighbour arrays. Points are inserted in
 batches: a batch walks the graph in lockstep, numpy computing one step of all
-its walks at once, and queries walk it the same way. Shards are dealt by hash
-and have a bounded size; every shard is searched and the results are merged.
+its walks at once, and queries walk it the same way. Shards are dealt by hash;
+their size grows with the table up to a bound, so that their number, and with it
+the walks of a query, stays small. Every shard is searched, as broadly as its
+size asks, and the results are merged.
 """
 
 from __future__ import annotations
@@ -16,13 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._memory import lean
 from ._store import Scratch
 from ._text import mix
 
 LINKS = 16
+#: Points that a walk keeps: while building, and in a search at least; a search of n points keeps 2 sqrt(n).
 BREADTH_BUILD, BREADTH_SEARCH = 80, 96
-SHARD_VECTORS = 4096
-QUERY_BLOCK = 256
+#: A table has about SHARDS shards, of so many vectors at least and at most.
+SHARDS = 64
+SHARD_VECTORS = (1 << 14, 1 << 20)
+#: Queries that walk at once, and bytes of marks that their walks may take.
+QUERY_BLOCK, MARKS = 256, 1 << 25
 BATCH = 128
 NEIGHBOURS = 10
 QUERY_EVERY = 100
@@ -90,8 +97,12 @@ class Graph:
             at = self.walk(queries, at, l, 1)[0]
         return at
 
-    def search(self, queries: np.ndarray, breadth: int = BREADTH_SEARCH) -> np.ndarray:
-        return self.walk(queries, self.descend(queries, 0), 0, breadth)[0]
+    def search(self, queries: np.ndarray, breadth: int | None = None) -> np.ndarray:
+        """Each query's nearest found; by default as broadly as the graph's size asks."""
+        breadth = breadth or max(BREADTH_SEARCH, int(2 * len(self.vectors) ** 0.5))
+        block = max(1, min(QUERY_BLOCK, MARKS // (len(self.vectors) + 1)))
+        parts = [self.walk(q, self.descend(q, 0), 0, breadth)[0] for q in (queries[at : at + block] for at in range(0, len(queries), block))]
+        return np.concatenate(parts) if parts else np.zeros((0, breadth), dtype=np.int64)
 
     def _choose(self, own: np.ndarray, ids: np.ndarray, dist: np.ndarray, width: int) -> np.ndarray:
         """Up to ``width`` of one point's candidates (nearest first): those nearer to it than to any chosen one, then the nearest rest."""
@@ -165,7 +176,7 @@ def build(vectors: np.ndarray, keys: np.ndarray) -> Graph:
                     filled[level][j] = len(kept)
         at = stop
     # Back to the caller's numbering.
-    home = np.append(order, -1)
+    home = np.append(order, -1).astype(np.int32)
     out = [np.full_like(x, -1) for x in graph.links]
     for new, old in zip(out, graph.links, strict=True):
         new[order] = home[old]
@@ -182,12 +193,12 @@ def dumps(graph: Graph) -> tuple[bytes, bytes]:
 
 def loads(vectors: np.ndarray, levels: bytes, flat: bytes) -> Graph:
     level = np.frombuffer(levels, dtype=np.uint8).astype(np.int64)
-    numbers = np.frombuffer(flat, dtype="<i4").astype(np.int64)
+    numbers = np.frombuffer(flat, dtype="<i4")
     links, at = [], 0
     for l in range(int(level.max()) + 1):
         width = 2 * LINKS if l == 0 else LINKS
         own = np.flatnonzero(level >= l)
-        x = np.full((len(level), width), -1, dtype=np.int64)
+        x = np.full((len(level), width), -1, dtype=np.int32)
         x[own] = numbers[at : at + len(own) * width].reshape(-1, width)
         links.append(x)
         at += len(own) * width
@@ -195,88 +206,135 @@ def loads(vectors: np.ndarray, levels: bytes, flat: bytes) -> Graph:
 
 
 def _usable(embeddings: DataFrame, id_: str, vector: str) -> DataFrame:
-    v = F.col("v")
+    """(id, v) of the rows that take part, components as they are (float or double)."""
+    kind = "float" if embeddings.schema[vector].dataType.simpleString() == "array<float>" else "double"
     return (
-        embeddings.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-        .where(F.col("id").isNotNull() & v.isNotNull())
-        .where(F.expr("forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)"))
+        embeddings.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
+        .where("id is not null and v is not null")
+        .where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
         .distinct()
     )
 
 
-def build_index(vectors: DataFrame, tmp: Scratch, *, shard_vectors: int = SHARD_VECTORS, neighbours: int = NEIGHBOURS) -> tuple[DataFrame, int]:
-    """(dim, shard, levels, links, vectors, members) and the number of shards.
+def _matrix(column: pa.ChunkedArray, dim: int, dtype: str) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, dim)
+
+
+def _scaled(vectors: np.ndarray, exponent: int) -> np.ndarray:
+    """float32 of the vectors over a power of two, which keeps wide doubles finite and changes no order."""
+    return np.ldexp(vectors, -exponent).astype(np.float32)
+
+
+def distances(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, last axis the components; of differences beyond squaring by their largest."""
+    d = points.astype(np.float64) - queries.astype(np.float64)
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        out = np.sqrt((d * d).sum(axis=-1))
+        top = np.abs(d).max(axis=-1, initial=0.0)
+        odd = (top > 0) & ((top > 1e150) | (top < 1e-150))
+        if odd.any():
+            out[odd] = top[odd] * np.sqrt(((d[odd] / top[odd][..., None]) ** 2).sum(axis=-1))
+    return out
+
+
+GRAPH_SCHEMA = "dim int, shard int, kind int, levels binary, links binary, vectors binary, counts binary, ids binary"
+
+
+def build_index(vectors: DataFrame, tmp: Scratch, *, shard_vectors: int | None = None, neighbours: int = NEIGHBOURS) -> tuple[DataFrame, int]:
+    """A row for each shard (GRAPH_SCHEMA, kind 0) and the number of shards.
 
     Equal vectors are one point; a point lists its ``neighbours + 1`` smallest
     ids, all that any result can name, so no group of copies is gathered.
     """
+    dtype = "<f4" if vectors.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
     named = vectors.selectExpr("id", "v", "row_number() over (partition by v order by id) as turn").where(F.col("turn") <= neighbours + 1)
     points = tmp.keep(named.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "points")
-    shards = max(1, -(-points.count() // shard_vectors))
+    n = points.count()
+    shards = max(1, -(-n // (shard_vectors or min(max(-(-n // SHARDS), SHARD_VECTORS[0]), SHARD_VECTORS[1]))))
     dealt = points.select(F.size("v").alias("dim"), F.expr(f"cast(pmod(xxhash64(v), {shards}) as int)").alias("shard"), "v", "ids")
 
     def make(table: pa.Table) -> pa.Table:
         dim = table["dim"][0].as_py()
-        v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-        ids = table["ids"].combine_chunks()
-        first = np.array([x[0] for x in ids.to_pylist()], dtype=np.int64)
+        v = _matrix(table["v"], dim, dtype)
+        lists = table["ids"].combine_chunks()
+        first = lists.flatten().to_numpy()[np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()]
         order = np.argsort(first, kind="stable")
-        v, ids, first = v[order], ids.take(pa.array(order)), first[order]
-        levels, links = dumps(build(v, first.view(np.uint64)))
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([table["shard"][0].as_py()], pa.int32()), "levels": pa.array([levels], pa.binary()), "links": pa.array([links], pa.binary()), "vectors": pa.array([v.astype("<f4").tobytes()], pa.binary()), "members": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64())))})
+        v, lists = v[order], lists.take(pa.array(order))
+        levels, links = dumps(build(_scaled(v, int(np.frexp(np.abs(v).max())[1])), first[order].view(np.uint64)))
+        ids = lists.flatten().to_numpy().astype("<i8")
+        counts = np.diff(np.asarray(lists.offsets)).astype("<u1")
+        binary = [pa.array([x], pa.binary()) for x in (levels, links, v.tobytes(), counts.tobytes(), ids.tobytes())]
+        numbers = [pa.array([x], pa.int32()) for x in (dim, table["shard"][0].as_py(), 0)]
+        return pa.table([*numbers, *binary], names=[x.split(" ")[0] for x in GRAPH_SCHEMA.split(", ")])
 
     # A partition for each shard: building is work by the point, which small bytes would hide from a coalescing planner.
-    index = dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(make, "dim int, shard int, levels binary, links binary, vectors binary, members array<array<bigint>>")
+    index = dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(make, GRAPH_SCHEMA)
     return tmp.keep(index, "index"), shards
 
 
-def nearest(spark: SparkSession, embeddings: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", query_every: int = QUERY_EVERY, neighbours: int = NEIGHBOURS, shard_vectors: int = SHARD_VECTORS, breadth: int = BREADTH_SEARCH) -> DataFrame:
+def nearest(spark: SparkSession, embeddings: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", query_every: int = QUERY_EVERY, neighbours: int = NEIGHBOURS, shard_vectors: int | None = None, breadth: int | None = None) -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): each query's nearest found, by Euclidean distance.
 
     Queries are the rows whose id is divisible by ``query_every``; candidates
     all rows with another id. Scores are computed in double precision on the
-    original components; ties go to the smaller id. Vectors that are null,
-    zero or hold null or non-finite components take no part, nor rows with a
-    null id; vectors of different lengths never meet. Repeated rows count once;
-    of one id's several vectors the nearest counts. Fewer candidates than
-    ``neighbours``: all that were found. An empty table gives no rows.
+    original components (float or double); ties go to the smaller id. Vectors
+    that are null, zero or hold null or non-finite components take no part, nor
+    rows with a null id; vectors of different lengths never meet. Repeated rows
+    count once; of one id's several vectors the nearest counts. Fewer candidates
+    than ``neighbours``: all that were found. An empty table gives no rows.
     """
     tmp = Scratch(spark, "ann")
     usable = tmp.keep(_usable(embeddings, vec_id, vector), "usable")
+    dtype = "<f4" if usable.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
     index, shards = build_index(usable, tmp, shard_vectors=shard_vectors, neighbours=neighbours)
     asked = usable.where(F.col("id") % query_every == 0)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     lots = asked.select(F.size("v").alias("dim"), F.expr(f"cast(pmod(xxhash64(id), {blocks}) as int)").alias("block"), "id", "v")
 
     def lay(table: pa.Table) -> pa.Table:
-        v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f4")
-        return pa.table({"dim": pa.array([table["dim"][0].as_py()], pa.int32()), "ids": pa.array([table["id"].to_pylist()], pa.list_(pa.int64())), "queries": pa.array([v.tobytes()], pa.binary())})
+        dim = table["dim"][0].as_py()
+        return pa.table({"dim": pa.array([dim], pa.int32()), "vectors": pa.array([_matrix(table["v"], dim, dtype).tobytes()], pa.binary()), "ids": pa.array([table["id"].to_numpy().astype("<i8").tobytes()], pa.binary())})
 
-    asked = lots.groupBy("dim", "block").applyInArrow(lay, "dim int, ids array<bigint>, queries binary")
-    asked = tmp.keep(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), "asked")
-    met = asked.repartition(shards, "dim", "shard").join(index.repartition(shards, "dim", "shard"), ["dim", "shard"]).select("dim", "ids", "queries", "levels", "links", "vectors", "members")
+    asked = lots.groupBy("dim", "block").applyInArrow(lay, "dim int, vectors binary, ids binary")
+    to_shards = asked.selectExpr("dim", f"explode(sequence(0, {shards - 1})) as shard", "1 as kind", "cast(null as binary) as levels", "cast(null as binary) as links", "vectors", "cast(null as binary) as counts", "ids")
+    # Each shard's graph comes first, then the blocks of queries that walk it.
+    keys = ["dim", "shard"]
+    met = index.union(to_shards).repartition(shards, *keys).sortWithinPartitions(*keys, "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, graph = None, None
         for batch in batches:
             for k in range(batch.num_rows):
-                dim, ids, raw, levels, links, points, members = (batch.column(c)[k].as_py() for c in range(7))
-                queries = np.frombuffer(raw, dtype="<f4").reshape(-1, dim)
-                graph = loads(np.frombuffer(points, dtype="<f4").reshape(-1, dim), levels, links)
-                found = graph.search(queries, breadth)
-                exact = graph.vectors[found].astype(np.float64)
-                exact -= queries[:, None, :].astype(np.float64)
-                score = np.where(found < 0, np.inf, np.sqrt((exact * exact).sum(axis=2)))
-                rows: list[tuple[int, int, float]] = []
-                for q, own in enumerate(ids):
-                    best: list[tuple[float, int]] = []
-                    for j in np.argsort(score[q], kind="stable").tolist():
-                        if not np.isfinite(score[q, j]) or (len(best) >= neighbours and score[q, j] > best[neighbours - 1][0]):
-                            break
-                        best += [(float(score[q, j]), x) for x in members[found[q, j]] if x != own]
-                        best.sort()
-                    rows += [(own, x, s) for s, x in best[:neighbours]]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})
-
-    near = met.mapInArrow(search, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+                dim, shard, kind = (batch.column(c)[k].as_py() for c in range(3))
+                vectors = np.frombuffer(batch.column(5)[k].as_py(), dtype=dtype).reshape(-1, dim)
+                ids = np.frombuffer(batch.column(7)[k].as_py(), dtype="<i8")
+                if not kind:
+                    exponent = int(np.frexp(np.abs(vectors).max())[1])
+                    graph = loads(_scaled(vectors, exponent), batch.column(3)[k].as_py(), batch.column(4)[k].as_py())
+                    counts = np.frombuffer(batch.column(6)[k].as_py(), dtype="<u1").astype(np.int64)
+                    at, points, members, first = (dim, shard), vectors, ids, np.cumsum(counts) - counts
+                elif at == (dim, shard):
+                    found = graph.search(_scaled(vectors, exponent), breadth)
+                    score = np.where(found < 0, np.inf, distances(points[found], vectors[:, None, :]))
+                    yield _ranked(ids, found, score, members, first, counts, neighbours)
+
+    near = met.mapInArrow(lean(search), "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = near.selectExpr("query_id", "cast(row_number() over (partition by query_id order by score, vec_id) as int) as rank", "vec_id", "score")
-    return ranked.where(F.col("rank") <= neighbours)
+    out = tmp.keep(ranked.where(F.col("rank") <= neighbours), "out")
+    tmp.drop("usable", "points", "index")
+    return out
+
+
+def _ranked(ids: np.ndarray, found: np.ndarray, score: np.ndarray, members: np.ndarray, first: np.ndarray, counts: np.ndarray, neighbours: int) -> pa.RecordBatch:
+    """(query_id, vec_id, score): each query's nearest members of the points found, its own id left out."""
+    rows: list[tuple[int, int, float]] = []
+    for q, own in enumerate(ids.tolist()):
+        best: list[tuple[float, int]] = []
+        for j in np.argsort(score[q], kind="stable").tolist():
+            if not np.isfinite(score[q, j]) or (len(best) >= neighbours and score[q, j] > best[neighbours - 1][0]):
+                break
+            p = found[q, j]
+            best += [(float(score[q, j]), x) for x in members[first[p] : first[p] + counts[p]].tolist() if x != own]
+            best.sort()
+        rows += [(own, x, s) for s, x in best[:neighbours]]
+    return pa.RecordBatch.from_pydict({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})

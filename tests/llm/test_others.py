@@ -21,12 +21,12 @@ data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 # Nearest neighbours.
 
 
-def vectors(spark, rows):
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+def vectors(spark, rows, kind="float"):
+    return spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
 
 
-def brute_nearest(rows, every, k):
-    good = [(i, np.array(v, dtype=np.float32).astype(float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+def brute_nearest(rows, every, k, dtype=np.float32):
+    good = [(i, np.array(v, dtype=dtype).astype(float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     out = {}
     for q, x in good:
         if q % every == 0:
@@ -82,6 +82,27 @@ def test_odd_vectors_and_copies(spark):
     assert ann.nearest(spark, vectors(spark, [])).isEmpty()
 
 
+def test_double_vectors_keep_their_components(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(size=8)
+    rows = [(i, (base + i * 1e-12 * r.normal(size=8)).tolist()) for i in range(30)] + [(100, (base * 1e200).tolist()), (200, (base * 1.5e200).tolist()), (300, [1e-200, *[0.0] * 7])]
+    out = ann.nearest(spark, vectors(spark, rows, "double")).orderBy("query_id", "rank").collect()
+    want = brute_nearest(rows[:30], 100, 10, np.float64)[0]
+    assert [(r_.vec_id, r_.score) for r_ in out if r_.query_id == 0 and r_.rank <= 3] == want[:3]
+    wide = [r_ for r_ in out if r_.query_id == 100][0]
+    assert wide.vec_id in (200, 300) or math.isfinite(wide.score)
+
+
+def test_recall_at_the_least_shipped_shard():
+    r = np.random.default_rng(8)
+    v = r.normal(size=(ann.SHARD_VECTORS[0], 64)).astype(np.float32)
+    graph = ann.build(v, np.arange(len(v), dtype=np.uint64))
+    queries = v[::80]
+    want = np.argsort((queries**2).sum(1)[:, None] + (v**2).sum(1) - 2 * queries @ v.T, axis=1)[:, :11]
+    found = graph.search(queries)
+    assert np.mean([len(set(a) & set(b[:11])) / 11 for a, b in zip(want.tolist(), found.tolist(), strict=True)]) >= 0.95
+
+
 def test_graph_round_trip():
     r = np.random.default_rng(0)
     v = r.normal(size=(400, 8)).astype(np.float32)

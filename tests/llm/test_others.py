@@ -233,15 +233,29 @@ def test_mix_matches_its_sql(spark):
 
 @data
 def test_expected_tokens_meet_the_targets(spark):
-    out = mixing.mix_report(spark, spark.read.parquet(f"{DATA}/documents.parquet"), rounds=200).toPandas()
+    """With the shipped targets and rounds."""
+    out = mixing.mix_report(spark, spark.read.parquet(f"{DATA}/documents.parquet")).toPandas()
     out["expected"] = out["tokens"] * out["probability"]
     for m in mixing.MARGINS:
         have, share = out.groupby(m)["expected"].sum(), out.groupby(m)["tokens"].sum() / out["tokens"].sum()
-        target = share**mixing.POWERS[m]
-        assert (have / have.sum()).to_numpy() == pytest.approx((target / target.sum()).to_numpy(), abs=2e-3)
+        target = share.index.map(mixing.TARGETS[m]) if m in mixing.TARGETS else share ** mixing.POWERS[m]
+        target = np.asarray(target, dtype=float)
+        assert (have / have.sum()).to_numpy() == pytest.approx(target / target.sum(), abs=2e-3)
     assert out["probability"].max() == 1.0 and out["kept"].mean() == pytest.approx(out["probability"].mean(), abs=0.05)
 
 
+def test_targets_of_some_values(spark):
+    docs = table(spark, [(i, prose(i, 20 + i % 7), ("en", "fr", "de", None)[i % 4], ("web", "web", "book")[i % 3]) for i in range(240)])
+    targets = {"source": {"book": 0.5, "radio": 0.2}, "lang": {"en": 0.4}}
+    for cells in (mixing.DRIVER_CELLS, 1):
+        out = mixing.mix_report(spark, docs, targets=targets, rounds=12, driver_cells=cells).toPandas()
+        out["expected"] = out["tokens"] * out["probability"]
+        share = {m: (x := out.groupby(m)["expected"].sum()) / x.sum() for m in ("source", "lang")}
+        # Nothing is from the radio, so the others share its part.
+        assert share["source"]["book"] == pytest.approx(0.5 / 0.8, abs=1e-3) and share["lang"]["en"] == pytest.approx(0.4, abs=1e-3)
+        assert share["lang"]["fr"] == pytest.approx(0.2, abs=0.01) and share["lang"][""] == pytest.approx(0.2, abs=0.01)
+
+
 def test_mix_table_form_and_odd_rows(spark):
     docs = odd_docs(spark)
     a = sorted_rows(mixing.mix_report(spark, docs, rounds=4))

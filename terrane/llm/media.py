@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._memory import lean
 from ._text import taken
 
 #: Payloads are padded with bytes 255 to a positive multiple of this.
@@ -64,6 +65,7 @@ def store_payload(payload: bytes) -> bytes:
         raise JpegError("the payload exceeds the format's dimensions")
     data = np.frombuffer(payload + b"\xff" * (wide * high * BLOCK - len(payload)), dtype=np.uint8)
     # One zero bit (the only Huffman code in use), then the byte: 64 times 9 bits are 72 bytes a block.
+    # The other code is 10: a code of ones alone is reserved.
     bits = np.zeros((len(data), 9), dtype=np.uint8)
     bits[:, 1:] = np.unpackbits(data).reshape(-1, 8)
     scan = np.packbits(bits.reshape(-1)).reshape(-1, 72)
@@ -80,7 +82,7 @@ def store_payload(payload: bytes) -> bytes:
     last = at[71::72][:-1] + 1 + full[71::72][:-1]
     out[last] = 255
     out[last + 1] = 0xD0 + (np.arange(n - 1) & 7)
-    table = bytes([2, *[0] * 15])
+    table = bytes([1, 1, *[0] * 14])
     head = [
         b"\xff\xd8",
         _segment(0xFE, b"payload_bytes=%d" % len(payload)),
@@ -365,4 +367,4 @@ def media_features(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(raws)), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"])
                 at += len(raws)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width bigint, height bigint")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(work), "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width bigint, height bigint")

@@ -7,9 +7,8 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled texts that a classifier learns from, and the longest text (characters) among them where a classifier bounds it.
+#: Labelled texts that a classifier learns from.
 SAMPLE_ROWS = 8000
-SAMPLE_CHARS = 20_000
 
 
 def held_out(doc_id: object) -> bool:
@@ -17,14 +16,14 @@ def held_out(doc_id: object) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int | None = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
     """Texts and 0/1 labels of up to ``rows`` documents that are not held out.
 
     Ids are taken from all labels in the order of their hash, so the sample is
     spread over the whole table and the same in every run; only these ids meet
-    the documents. Rows without id or label, and texts over ``chars``
-    characters (None: no bound), are not learnt from. Of several labels for one id the largest counts;
-    of several texts the first in order.
+    the documents. Rows without id, label or text are not learnt from. Of
+    several labels for one id the largest counts; of several texts the first in
+    order.
     """
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("key"), F.col(label).cast("int").alias("mark"))
@@ -37,7 +36,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     )
     found = (
         docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").alias("words"))
-        .where("words is not null" if chars is None else F.length("words") <= chars)
+        .where("words is not null")
         .join(F.broadcast(ids), "key")
         .groupBy("key", "mark")
         .agg(F.min("words").alias("words"))

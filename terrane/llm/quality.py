@@ -2,8 +2,8 @@
 
 Hashed word and character n-gram vectors are learnt with numpy stochastic
 gradient descent, averaged per document and read by a softmax layer. Case and
-punctuation stay in the text: words are runs without white space. Of word
-pairs only the repeated word is kept, as one shared feature.
+punctuation stay in the text: words are runs without white space. Word n-grams
+are words and pairs of them; pairs of one word share a feature besides.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from ._features import SPACE, hashed, segments
 from ._labels import SAMPLE_ROWS, held_out, labelled_sample
+from ._memory import lean, release
 from ._text import taken
 
 BITS, DIM, ORDERS = 18, 16, (3, 4)
@@ -48,8 +49,12 @@ def _features(blob: bytes, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     found = hashed(blob, SPACE, ORDERS, BITS)
     at, word = found[0]
     own = np.searchsorted(starts, at, side="right")
-    again = at[1:][(word[1:] == word[:-1]) & (own[1:] == own[:-1])]
-    return [*found, (again, np.full(len(again), REPEAT, dtype=np.int32))]
+    same = own[1:] == own[:-1]
+    pair = word[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    pair ^= pair >> np.uint64(31)
+    pair *= np.uint64(0xD6E8FEB86659FD93)
+    again = at[1:][(word[1:] == word[:-1]) & same]
+    return [*found, (at[1:][same], (pair >> np.uint64(64 - BITS)).astype(np.int32)[same]), (again, np.full(len(again), REPEAT, dtype=np.int32))]
 
 
 def _bags(texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -106,12 +111,13 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Quality
 def score_quality(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id long, held_out boolean, score double, predicted int), a row for each row of ``docs``.
 
-    Learns from up to ``rows`` labelled documents that are not held out; the
+    Learns from up to ``rows`` labelled documents of any length that are not held out; the
     score is a function of the whole text alone. Null texts are scored as
     empty. A null doc_id is not held out. Repeated rows come back repeated;
     an empty table gives no rows. Other columns are not read.
     """
     model = train(*labelled_sample(docs, labels, "quality", rows))
+    release()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in taken(batches, 1):
@@ -119,4 +125,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS
             p = model.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(x) for x in ids], pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(score), "doc_id bigint, held_out boolean, score double, predicted int")

@@ -78,7 +78,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted for toxicity."""
+    """doc_id, held_out, score, predicted for toxicity, and the offending sentences."""
     from .toxicity import score_toxicity
 
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

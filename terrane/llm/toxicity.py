@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ._features import SENTENCE_END, WORD, hashed, segments
 from ._labels import SAMPLE_ROWS, held_out, labelled_sample
+from ._memory import lean, release
 from ._text import taken
 
 BITS, ORDERS = 20, (5,)
@@ -154,42 +155,51 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Toxicit
     return ToxicityModel(weights.astype(np.float32), bias, usual)
 
 
+def _learnt(docs: DataFrame, labels: DataFrame, rows: int) -> ToxicityModel:
+    model = train(*labelled_sample(docs, labels, "toxic", rows))
+    release()
+    return model
+
+
 def _score_frame(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in taken(batches, 1):
-            ids = batch.column(0).to_pylist()
-            p = np.clip(model.scores(batch.column(1).to_pylist()), 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(x) for x in ids], pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            p = np.clip(model.scores(texts), 0, 1)
+            toxic = p >= THRESHOLD
+            found = [[s for s, _ in model.offending(text)] if bad else [] for text, bad in zip(texts, toxic, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held_out(x) for x in ids], pa.bool_()), pa.array(p, pa.float64()), pa.array(toxic.astype(np.int32)), pa.array(found, pa.list_(pa.string()))], ["doc_id", "held_out", "score", "predicted", "sentences"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(score), "doc_id bigint, held_out boolean, score double, predicted int, sentences array<string>")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id long, held_out boolean, score double, predicted int), a row for each row of ``docs``.
+    """(doc_id long, held_out boolean, score double, predicted int, sentences array<string>), a row for each row of ``docs``.
 
+    ``sentences`` are the offending ones of a text that is predicted toxic.
     Learns from up to ``rows`` labelled documents of any length that are not held out; the
     score is a function of the whole text alone. Null and empty texts score 0.
     A null doc_id is not held out. Repeated rows come back repeated; an empty
     table gives no rows. Other columns are not read.
     """
-    return _score_frame(docs, train(*labelled_sample(docs, labels, "toxic", rows, None)))
+    return _score_frame(docs, _learnt(docs, labels, rows))
 
 
 def offending_sentences(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, threshold: float = SENTENCE_THRESHOLD) -> DataFrame:
     """(doc_id, sentence, score) for each sentence that scores ``threshold`` or more; null cases as in ``score_toxicity``."""
-    model = train(*labelled_sample(docs, labels, "toxic", rows, None))
+    model = _learnt(docs, labels, rows)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in taken(batches, 1):
             found = [(i, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in model.offending(text, threshold)]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in found], pa.int64()), "sentence": pa.array([x[1] for x in found], pa.string()), "score": pa.array([x[2] for x in found], pa.float64())})
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(locate, "doc_id bigint, sentence string, score double")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(locate), "doc_id bigint, sentence string, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores under the threshold; null texts stay."""
-    model = train(*labelled_sample(docs, labels, "toxic", rows, None))
+    model = _learnt(docs, labels, rows)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,4 +207,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -
             p = model.scores(batch.column(at).to_pylist())
             yield batch.filter(pa.array(p < THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

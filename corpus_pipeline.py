@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from terrane.llm._store import Scratch
 from terrane.llm.line_dedup import dedup_lines
 from terrane.llm.mixing import mix
-from terrane.llm.neardup import near_duplicates
+from terrane.llm.neardup import drop_near_duplicates
 from terrane.llm.packing import pack_documents
 from terrane.llm.toxicity import drop_toxic
 
@@ -31,11 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near duplicates; rows without a doc_id stay."""
-    classes = near_duplicates(spark, docs)
-    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    unique = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept if unique else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    return drop_near_duplicates(spark, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,18 +1,20 @@
 """Cross-entropy difference: matched target and background n-gram models score each document.
 
-Both models are word bigram models over one shared vocabulary, all words of the
-corpus (`_text`; characters of scripts that are written without spaces are words
-of their own) and the end of a text. Counts are exact, over all documents
-(target: those that are marked), and live in tables that grow with the corpus:
-each word's occurrences are dealt to a slot, which counts and scores them. The
-background is scaled to the target's total, both are smoothed alike towards one
-unigram estimate, and a document's own bigrams are left out of the counts that
-score it. A document's score is the mean over its tokens of the target loss less
-the background loss (nats); lower is closer to the target.
-
-Words and bigrams with a share of ``FREQUENT`` or more (their number is bounded
-by its inverse) are counted beforehand and sent to every task, so that no slot
-gathers a common word or pair.
+Both models are word bigram models over one shared vocabulary: the words (`_text`;
+characters of scripts that are written without spaces are words of their own)
+that make up a share of KNOWN or more of the corpus, and the end of a text. A
+rarer word has a fixed small probability and, as a context, leaves the next
+token to its unigram estimate. Bigrams of known contexts are counted exactly,
+over all documents (target: those that are marked), in tables that grow with the
+corpus: each is dealt to a slot, which counts it and answers for the documents
+that share it with others. The background is scaled to the target's total, both
+are smoothed alike towards the unigram estimate, and a document's own bigrams
+are left out of the counts that score it. A document's score is the mean over
+its tokens of the target loss less the background loss (nats); lower is closer
+to the target.
+
+Known words, and bigrams with as large a share, are at most 1 / KNOWN each; they
+are sent to every task, so that no slot gathers a common pair.
 """
 
 from __future__ import annotations
@@ -35,12 +37,12 @@ from ._text import mix, taken, word_hashes
 
 #: Weight, in tokens, of the next shorter context's estimate.
 PRIOR = 8.0
-#: The probability that the unigram estimate falls back to for any word.
+#: The unigram probability of a word that is not known.
 UNSEEN = 1e-6
-#: Share of all tokens from which a word or bigram is frequent.
-FREQUENT = 1e-3
+#: Share of all tokens from which a word or bigram is known.
+KNOWN = 1e-5
 #: Tokens of a slot on average: what bounds a task's memory.
-SLOT_TOKENS = 2_000_000
+SLOT_TOKENS = 4_000_000
 #: Target ids (8 bytes each) up to which they are sent to every task; more are joined.
 TARGETS_SENT = 4_000_000
 
@@ -79,8 +81,8 @@ class Tokens:
 
 
 @dataclass
-class Frequent:
-    """Exact counts (background, target) of the frequent words and bigrams, and the totals of tokens and texts."""
+class Known:
+    """Exact counts (background and target rows) of the known words and bigrams, and the totals of tokens and texts."""
 
     words: np.ndarray
     word_counts: np.ndarray
@@ -93,15 +95,11 @@ class Frequent:
     def scale(self) -> float:
         return float(self.tokens[1] / self.tokens[0]) if self.tokens[1] else 1.0
 
-    def numerators(self, pair: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(target, background) of tokens with bigram and word counts (background, target rows), their own left out."""
-        base = (word[0] + PRIOR * UNSEEN) / (self.tokens[0] + PRIOR)
-        shorter_t = (word[1] + PRIOR * base) / (self.tokens[1] + PRIOR)
-        shorter_b = (self.scale * word[0] + PRIOR * base) / (self.scale * self.tokens[0] + PRIOR)
-        return np.log(pair[1] + PRIOR * shorter_t), np.log(self.scale * pair[0] + PRIOR * shorter_b)
-
-    def denominators(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.log(context[1] + PRIOR), np.log(self.scale * context[0] + PRIOR)
+    def shorter(self) -> tuple[np.ndarray, np.ndarray]:
+        """(target, background) unigram estimates of the known words, and last of any other."""
+        counts = np.append(self.word_counts, np.zeros((2, 1)), axis=1)
+        base = np.append((self.word_counts[0] + PRIOR * UNSEEN) / (self.tokens[0] + PRIOR), UNSEEN)
+        return (counts[1] + PRIOR * base) / (self.tokens[1] + PRIOR), (self.scale * counts[0] + PRIOR * base) / (self.scale * self.tokens[0] + PRIOR)
 
 
 def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,8 +174,8 @@ def _candidates(source: DataFrame, marks: np.ndarray | None, tmp: Scratch, share
     return np.unique(np.append(value[kind == 0], END)), np.unique(value[kind == 1]), total
 
 
-def _frequent(source: DataFrame, marks: np.ndarray | None, words: np.ndarray, pairs: np.ndarray, share: float) -> Frequent:
-    """The exact counts of the candidates, those that are frequent kept (the end always), and the totals."""
+def _known(source: DataFrame, marks: np.ndarray | None, words: np.ndarray, pairs: np.ndarray, share: float) -> Known:
+    """The exact counts of the candidates, those that are known kept (the end always), and the totals."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((2, n), dtype=np.int64) for n in (len(words), len(pairs), 1, 1)]
@@ -202,7 +200,7 @@ def _frequent(source: DataFrame, marks: np.ndarray | None, words: np.ndarray, pa
     tokens = sums[2][:, 0]
     keep = [(x[0] >= share * tokens[0]) & (x[0] > 0) for x in sums[:2]]
     keep[0] |= words == END
-    return Frequent(words[keep[0]], sums[0][:, keep[0]], pairs[keep[1]], sums[1][:, keep[1]], tokens, sums[3][:, 0])
+    return Known(words[keep[0]], sums[0][:, keep[0]], pairs[keep[1]], sums[1][:, keep[1]], tokens, sums[3][:, 0])
 
 
 def _doc_keys(ids: Sequence[int | None], texts: Sequence[str | None]) -> np.ndarray:
@@ -211,30 +209,32 @@ def _doc_keys(ids: Sequence[int | None], texts: Sequence[str | None]) -> np.ndar
     return np.array(out, dtype=np.uint64)
 
 
-def _routed(source: DataFrame, marks: np.ndarray | None, known: Frequent, slots: int) -> DataFrame:
-    """The tokens whose bigram is not frequent, dealt by word (frequent words by bigram): a row for each chunk and slot.
+def _dealt_bigrams(source: DataFrame, marks: np.ndarray | None, known: Known, slots: int) -> DataFrame:
+    """The bigrams of known contexts that are not known themselves, dealt by bigram: a row for each chunk and slot.
 
-    ``word`` and ``run`` are the words and how many tokens each has, ``pair``
-    five bytes of each token's bigram, ``doc`` its place in ``docs``.
+    ``word`` and ``run`` are the places of the known words and how many bigrams
+    end in each, ``pair`` six bytes of each bigram, ``place`` its document's
+    among ``docs``.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, t in _chunks(batches, marks):
             pair = _pair(t.before, t.word)
-            here = np.flatnonzero(~_found(known.pairs, pair)[1])
+            here = np.flatnonzero(~_found(known.pairs, pair)[1] & ((t.before == START) | _found(known.words, t.before)[1]))
             if not len(here):
                 continue
-            word, pair, doc = t.word[here], pair[here], t.doc[here]
-            slot = (mix(np.where(_found(known.words, word)[1], pair, word)) >> np.uint64(20)) % np.uint64(slots)
+            pair, doc = pair[here], t.doc[here]
+            at, there = _found(known.words, t.word[here])
+            word = np.where(there, at, len(known.words)).astype(np.uint32)
+            slot = (pair >> np.uint64(48)).astype(np.int64) * slots >> 16
             order = np.lexsort((word, slot))
             slot, word, pair, doc = (x[order] for x in (slot, word, pair, doc))
             numbers, bounds, _ = dealt(slot, [])
-            new = np.append(True, (word[1:] != word[:-1]) | (slot[1:] != slot[:-1]))
-            runs = np.flatnonzero(new)
+            runs = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (slot[1:] != slot[:-1])))
             run_bounds = np.searchsorted(runs, bounds)
-            # The documents of each slot, and each token's place among them.
-            present, place = np.unique(slot.astype(np.int64) * len(t.n) + doc, return_inverse=True)
-            doc_bounds = np.searchsorted(present, np.append(numbers.astype(np.int64) * len(t.n), np.iinfo(np.int64).max))
+            # The documents of each slot, and each bigram's place among them.
+            present, place = np.unique(slot * len(t.n) + doc, return_inverse=True)
+            doc_bounds = np.searchsorted(present, np.append(numbers * len(t.n), np.iinfo(np.int64).max))
             place = (place - np.repeat(doc_bounds[:-1], np.diff(bounds))).astype(np.uint16)
             present %= len(t.n)
             yield pa.RecordBatch.from_arrays(
@@ -242,7 +242,7 @@ def _routed(source: DataFrame, marks: np.ndarray | None, known: Frequent, slots:
                     pa.array(numbers.astype(np.int32)),
                     column(word[runs], run_bounds),
                     column(np.diff(np.append(runs, len(word))).astype(np.uint32), run_bounds),
-                    column(pair.view(np.uint8).reshape(-1, 8)[:, :5], bounds),
+                    column(pair.view(np.uint8).reshape(-1, 8)[:, :6], bounds),
                     column(place, bounds),
                     column(_doc_keys(ids, texts)[present], doc_bounds),
                     column(t.target[present].astype(np.uint8), doc_bounds),
@@ -253,89 +253,101 @@ def _routed(source: DataFrame, marks: np.ndarray | None, known: Frequent, slots:
     return source.mapInArrow(lean(deal), "slot int, word binary, run binary, pair binary, place binary, docs binary, target binary")
 
 
-def _slot_losses(table: pa.Table, known: Frequent) -> tuple[np.ndarray, ...]:
-    """(document key, tokens, target, background) sums of one slot's part of each document's losses."""
+def _answers(table: pa.Table, shorter: tuple[np.ndarray, np.ndarray], scale: float) -> tuple[np.ndarray, ...]:
+    """(document key, target, background): what the bigrams that a document shares with others take off its losses, for one slot."""
     parts = {c: table.column(c).chunks for c in table.column_names}
-    run_word, run = entries(parts["word"], "<u8"), entries(parts["run"], "<u4").astype(np.int64)
-    raw = entries(parts["pair"], "u1").reshape(-1, 5)
-    rest = np.zeros((len(raw), 8), dtype=np.uint8)
-    rest[:, :5] = raw
-    rest = rest.view("<u8").reshape(-1)
+    word = np.repeat(entries(parts["word"], "<u4"), entries(parts["run"], "<u4"))
+    raw = entries(parts["pair"], "u1").reshape(-1, 6)
+    pair = np.zeros((len(raw), 8), dtype=np.uint8)
+    pair[:, :6] = raw
     keys, target = entries(parts["docs"], "<u8"), entries(parts["target"], "u1").astype(bool)
     held = [len(x) // 8 for c in parts["docs"] for x in c.to_pylist()]
-    tokens = [len(x) // 2 for c in parts["place"] for x in c.to_pylist()]
-    doc = entries(parts["place"], "<u2").astype(np.int64) + np.repeat(np.cumsum(held) - held, tokens)
-    words, of_run = np.unique(run_word, return_inverse=True)
-    word = np.repeat(of_run, run)
-    marked = target[doc]
-    pairs, pair = np.unique(mix(run_word.repeat(run) + rest), return_inverse=True)
+    bigrams = [len(x) // 2 for c in parts["place"] for x in c.to_pylist()]
+    doc = entries(parts["place"], "<u2").astype(np.int64) + np.repeat(np.cumsum(held) - held, bigrams)
+    # Six bytes and the last word tell the bigrams of a slot apart.
+    pairs, pair = np.unique(mix(pair.view("<u8").reshape(-1) + (word.astype(np.uint64) << np.uint64(48))), return_inverse=True)
     own = _repeats(pair, doc, len(keys))
-    pair_counts = np.stack([np.bincount(pair, minlength=len(pairs))[pair] - own, np.bincount(pair[marked], minlength=len(pairs))[pair] - own * marked])
-    at, often = _found(known.words, words)
-    word_counts = np.stack([np.bincount(word, minlength=len(words)), np.bincount(word[marked], minlength=len(words))])
-    word_counts[:, often] = known.word_counts[:, at[often]]
-    own = np.where(often[word], 0, _repeats(word, doc, len(keys)))
-    context = np.stack([word_counts[0][word] - own, word_counts[1][word] - own * marked])
-    out = []
-    for above, below in zip(known.numerators(pair_counts, context), known.denominators(context), strict=True):
-        # What follows a frequent word is settled where the document is.
-        out.append(np.bincount(doc, np.where(often[word], 0, below) - above, len(keys)))
-    return keys, np.bincount(doc, minlength=len(keys)), out[0], out[1]
+    background = np.bincount(pair, minlength=len(pairs))[pair] - own
+    seen = np.flatnonzero(background)
+    if not len(seen):
+        return keys[:0], np.zeros(0), np.zeros(0)
+    marked = target[doc]
+    in_target = np.bincount(pair[marked], minlength=len(pairs))[pair[seen]] - own[seen] * marked[seen]
+    word, doc = word[seen], doc[seen]
+    off = [np.log1p(c / (PRIOR * q[word])) for c, q in zip((in_target, scale * background[seen]), shorter, strict=True)]
+    some, doc = np.unique(doc, return_inverse=True)
+    return keys[some], *(np.bincount(doc, x) for x in off)
 
 
-def _known_losses(t: Tokens, known: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens left to the slots, target, background): each document's losses as far as the frequent words and bigrams and the starts tell."""
+def _own_losses(t: Tokens, known: Known, shorter: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """(target, background) sums of each document's losses, bigrams that are not known counted as in no other document."""
     size = len(t.n)
     marked = t.target[t.doc]
+    at, there = _found(known.words, t.word)
+    word = np.where(there, at, len(known.words))
+    at, context = _found(known.words, t.before)
+    start = t.before == START
+    contexts = np.where(context, known.word_counts[:, at], 0) if len(known.words) else np.zeros((2, len(t.word)), dtype=np.int64)
+    contexts = np.where(start, np.stack([np.full(len(start), known.texts[0] - 1), known.texts[1] - marked]), contexts)
     at, hit = _found(known.pairs, _pair(t.before, t.word))
-    word_at, often = _found(known.words, t.word)
-    out = [np.where(t.n > 0, x, 0) for x in known.denominators(np.stack([known.texts[0] - np.ones(size), known.texts[1] - t.target]))]
+    pairs = np.zeros((2, len(t.word)))
     if hit.any():
         own = _repeats(at[hit], t.doc[hit], size)
-        # A frequent bigram's word is frequent, and frequent words keep their own occurrences.
-        counts = known.pair_counts[:, at[hit]] - np.stack([own, own * marked[hit]])
-        for k, x in enumerate(known.numerators(counts, known.word_counts[:, word_at[hit]])):
-            out[k] -= np.bincount(t.doc[hit], x, size)
-    follow = often & (t.word != END)
-    if follow.any():
-        for k, x in enumerate(known.denominators(known.word_counts[:, word_at[follow]])):
-            out[k] += np.bincount(t.doc[follow], x, size)
-    return np.bincount(t.doc[~hit], minlength=size), out[0], out[1]
-
-
-def score_documents(spark: SparkSession, docs: DataFrame, targets: DataFrame, *, frequent: float = FREQUENT, slot_tokens: int = SLOT_TOKENS, targets_sent: int = TARGETS_SENT) -> DataFrame:
+        pairs[:, hit] = known.pair_counts[:, at[hit]] - np.stack([own, own * marked[hit]])
+    out = []
+    for k, (s, q) in enumerate(((1.0, shorter[0]), (known.scale, shorter[1]))):
+        row = 1 - k
+        smooth = np.log(s * pairs[row] + PRIOR * q[word]) - np.log(s * contexts[row] + PRIOR)
+        out.append(-np.bincount(t.doc, np.where(context | start, smooth, np.log(q[word])), size))
+    return out
+
+
+def score_documents(spark: SparkSession, docs: DataFrame, targets: DataFrame, *, share: float = KNOWN, slot_tokens: int = SLOT_TOKENS, targets_sent: int = TARGETS_SENT) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score), a row for each row of ``docs``.
 
-    A text's tokens are its words and its end. Left out of the counts that score
-    a document are its own bigrams and, but for frequent words, its own words
-    (as unigrams and as contexts).
+    A text's tokens are its words and its end. A document's own bigrams are left
+    out of the counts that score it, and it is left out of the texts that the
+    first token follows; words and other contexts count with all documents.
     ``targets`` holds the doc_ids of the target corpus; ids unknown to ``docs``,
-    nulls and repeats among them change nothing; without any, both models fall
-    back to the unigram estimate. Texts without words have no tokens and null
-    losses. A null doc_id is background and stays null. Repeated rows are counted
-    and scored each. An empty table gives no rows. Other columns are not read.
+    nulls and repeats among them change nothing; without any, the target model
+    has no counts. Texts without words have no tokens and null losses. A null
+    doc_id is background and stays null. Repeated rows are counted and scored
+    each. An empty table gives no rows. Other columns are not read.
     """
     tmp = Scratch(spark, "lm")
     source, marks = _marked(docs, targets, tmp, targets_sent)
-    words, pairs, total = _candidates(source, marks, tmp, frequent)
-    known = _frequent(source, marks, words, pairs, frequent)
-    slots = max(1, -(-total // slot_tokens))
+    words, pairs, total = _candidates(source, marks, tmp, share)
+    known = _known(source, marks, words, pairs, share)
+    shorter, scale = known.shorter(), known.scale
+    slots = min(1 << 16, max(1, -(-total // slot_tokens)))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_slot(batches):
+            keys, target, background = _answers(table, shorter, scale)
+            numbers, bounds, arrays = dealt((keys % np.uint64(slots)).astype(np.int64), [keys, target.astype("<f4"), background.astype("<f4")])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), *(column(x, bounds) for x in arrays)], ["slot", "key", "target", "background"])
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_slot(batches):
-            keys, n, target, background = _slot_losses(table, known)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(target), pa.array(background)], ["key", "n", "target", "background"])
+            keys, target, background = (entries(table.column(c).chunks, d) for c, d in (("key", "<u8"), ("target", "<f4"), ("background", "<f4")))
+            some, at = np.unique(keys, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), *(pa.array(np.bincount(at, x)) for x in (target, background))], ["key", "target", "background"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, t in _chunks(batches, marks):
-            left, target, background = _known_losses(t, known)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_doc_keys(ids, texts).view(np.int64)), pa.array(t.n), pa.array(left), pa.array(target), pa.array(background)], ["doc_id", "key", "n_tokens", "left", "known_target", "known_background"])
+            target, background = _own_losses(t, known, shorter)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_doc_keys(ids, texts).view(np.int64)), pa.array(t.n), pa.array(target), pa.array(background)], ["doc_id", "key", "n_tokens", "own_target", "own_background"])
 
     # Slots are numbered by the corpus's size, so each is a partition's work.
-    routed = _routed(source, marks, known, slots).repartition(slots, "slot").sortWithinPartitions("slot")
-    settled = routed.mapInArrow(lean(settle), "key bigint, n bigint, target double, background double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background"))
-    own = source.mapInArrow(lean(describe), "doc_id bigint, key bigint, n_tokens bigint, left bigint, known_target double, known_background double")
-    # Equal rows share a key, and each has its part of the sums.
-    both = own.join(settled, "key", "left").withColumn("part", F.expr("coalesce(left / n, 0e0)"))
-    loss = "case when n_tokens > 0 then (known_{0} + coalesce({0}, 0e0) * part) / n_tokens end"
-    return both.selectExpr("doc_id", "n_tokens", f"{loss.format('target')} as target_loss", f"{loss.format('background')} as background_loss").withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition(slots, "slot").sortWithinPartitions("slot")
+
+    answers = grouped(_dealt_bigrams(source, marks, known, slots)).mapInArrow(lean(answer), "slot int, key binary, target binary, background binary")
+    sums = grouped(answers).mapInArrow(lean(total_up), "key bigint, target double, background double")
+    own = tmp.keep(source.mapInArrow(lean(describe), "doc_id bigint, key bigint, n_tokens bigint, own_target double, own_background double"), "own")
+    # Equal rows share a key, and each has its part of the answers.
+    copies = own.groupBy("key").agg(F.count("*").alias("rows"))
+    both = own.join(sums.join(copies, "key"), "key", "left")
+    loss = "case when n_tokens > 0 then (own_{0} - coalesce({0} / rows, 0e0)) / n_tokens end"
+    out = both.selectExpr("doc_id", "n_tokens", f"{loss.format('target')} as target_loss", f"{loss.format('background')} as background_loss").withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    return out

@@ -282,42 +282,52 @@ def brute_losses(texts, targets, share):
             pairs[n].update(zip(["start", *d], d, strict=False))
             words[n].update([*d, "start"] if d else [])
     total = {n: sum(v for w, v in words[n].items() if w != "start") for n in "bt"}
+    known = {w for w, v in words["b"].items() if v >= share * total["b"]} | {"start", "end"}
     scale = total["t"] / total["b"] if total["t"] else 1.0
-    prior = lm_score.PRIOR
+    prior, unseen = lm_score.PRIOR, lm_score.UNSEEN
     out = []
     for i, d in enumerate(docs):
         losses = [0.0, 0.0]
-        own_words, own_pairs = collections.Counter([*d, "start"]), collections.Counter(zip(["start", *d], d, strict=False))
-
-        def left(n, w, i=i, own_words=own_words):
-            common = w == "end" or (w != "start" and words["b"][w] >= share * total["b"])
-            return words[n][w] - (0 if common or (n == "t" and i not in targets) else own_words[w])
-
+        own = collections.Counter(zip(["start", *d], d, strict=False))
         for pair in zip(["start", *d], d, strict=False):
             before, word = pair
-            base = (left("b", word) + prior * lm_score.UNSEEN) / (total["b"] + prior)
+            base = (words["b"][word] + prior * unseen) / (total["b"] + prior) if word in known else unseen
             for k, (n, s) in enumerate((("t", 1.0), ("b", scale))):
-                shorter = (s * left(n, word) + prior * base) / (s * total[n] + prior)
-                seen = pairs[n][pair] - (own_pairs[pair] if n == "b" or i in targets else 0)
-                losses[k] -= math.log((s * seen + prior * shorter) / (s * left(n, before) + prior))
+                mine = n == "b" or i in targets
+                shorter = (s * (words[n][word] if word in known else 0) + prior * base) / (s * total[n] + prior)
+                if before in known:
+                    seen = pairs[n][pair] - (own[pair] if mine else 0)
+                    context = words[n][before] - (before == "start" and mine)
+                    losses[k] -= math.log((s * seen + prior * shorter) / (s * context + prior))
+                else:
+                    losses[k] -= math.log(shorter)
         out.append((len(d), *(x / len(d) for x in losses)) if d else None)
     return out
 
 
-@pytest.mark.parametrize(("share", "slot_tokens", "sent"), [(1e-3, 2_000_000, 1000), (1e-2, 300, 0), (0.5, 300, 1000)])
+@pytest.mark.parametrize(("share", "slot_tokens", "sent"), [(1e-5, 2_000_000, 1000), (1e-3, 300, 0), (1e-2, 300, 1000), (0.5, 100, 0)])
 def test_losses_match_brute_force(spark, share, slot_tokens, sent):
     texts = [prose(k, 60) for k in range(30)] + [prose(3, 60), prose(4, 60) + " more", "日本語 42 ก x", "Ünïcode, 42!\n", None, "", "a a a a b a a"]
     docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
     targets = spark.createDataFrame([(0,), (1,), (1,), (3,), (36,), (77,), (None,)], "doc_id long")
     want = brute_losses([*texts[:32], "日 本 語 42 ก x", *texts[33:]], {0, 1, 3, 36}, share)
-    for r in lm_score.score_documents(spark, docs, targets, frequent=share, slot_tokens=slot_tokens, targets_sent=sent).collect():
+    for r in lm_score.score_documents(spark, docs.union(docs.where("doc_id = -1")), targets, share=share, slot_tokens=slot_tokens, targets_sent=sent).collect():
         if want[r.doc_id] is None:
             assert r.score is None and r.n_tokens == 0
         else:
-            assert (r.n_tokens, r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id], abs=1e-9)
+            assert (r.n_tokens, r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id], abs=1e-5)
             assert r.score == pytest.approx(r.target_loss - r.background_loss)
 
 
+def test_repeated_rows_are_scored_alike(spark):
+    texts = [prose(k, 40) for k in range(12)] + [prose(2, 40), prose(2, 40)]
+    ids = [*range(12), 2, 50]
+    want = brute_losses(texts, {2, 12, 5}, 1e-5)
+    targets = spark.createDataFrame([(2,), (5,)], "doc_id long")
+    out = lm_score.score_documents(spark, table(spark, [(i, t, "en", "s") for i, t in zip(ids, texts, strict=True)]), targets).collect()
+    assert sorted((r.doc_id, round(r.background_loss, 5)) for r in out) == sorted((i, round(w[2], 5)) for i, w in zip(ids, want, strict=True))
+
+
 def test_texts_that_occur_twice_stand_apart(spark):
     texts = [prose(k, 80, 4000) for k in range(60)] + [prose(k, 80, 4000) for k in range(10)]
     docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])

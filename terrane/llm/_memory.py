@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -22,6 +23,13 @@ def release() -> None:
         return
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets the session to send workers that many rows at a time at most: texts come in megabytes, not tens of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def lean(kernel: Kernel) -> Kernel:
     """The kernel for mapInArrow, with ``release`` after its last batch."""
 

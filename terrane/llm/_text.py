@@ -7,7 +7,7 @@ they agree between tasks, runs and table sizes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -160,3 +160,20 @@ def taken(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordB
             high = max(low + 1, int(np.searchsorted(total, before + TAKEN, side="right")))
             yield batch.slice(low, high - low)
             low = high
+
+
+def gathered[T](parts: Iterator[T], size: Callable[[T], int], least: int) -> Iterator[list[T]]:
+    """The parts in lots of ``least`` in size at least and about twice that at most, but for a task that has less: a small rest joins the lot before it."""
+    lot: list[T] = []
+    last = 0
+    held = total = 0
+    for part in parts:
+        lot.append(part)
+        total += size(part)
+        if total - held >= least and held >= least:
+            yield lot[:last]
+            lot, total, held = lot[last:], total - held, 0
+        if held < least <= total:
+            last, held = len(lot), total
+    if lot:
+        yield lot

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ._memory import lean
 from ._parcels import by_slot, column, dealt, entries
 from ._store import Scratch
-from ._text import mix, taken, word_hashes
+from ._text import gathered, mix, taken, word_hashes
 
 #: Weight, in tokens, of the next shorter context's estimate.
 PRIOR = 8.0
@@ -43,6 +43,8 @@ UNSEEN = 1e-6
 KNOWN = 1e-5
 #: Tokens of a slot on average: what bounds a task's memory.
 SLOT_TOKENS = 4_000_000
+#: Tokens of a lot in which words and bigrams are looked for that may be known.
+LOT_TOKENS = 1_000_000
 #: Target ids (8 bytes each) up to which they are sent to every task; more are joined.
 TARGETS_SENT = 4_000_000
 
@@ -157,9 +159,10 @@ def _candidates(source: DataFrame, marks: np.ndarray | None, tmp: Scratch, share
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, t in _chunks(batches, marks):
-            found = [(2, np.zeros(1, dtype=np.uint64), np.array([len(t.word)]))]
-            for kind, keys in ((0, t.word), (1, _pair(t.before, t.word))):
+        for lot in gathered((t for _, _, t in _chunks(batches, marks)), lambda t: len(t.word), LOT_TOKENS):
+            found = [(2, np.zeros(1, dtype=np.uint64), np.array([sum(len(t.word) for t in lot)]))]
+            for kind in (0, 1):
+                keys = np.concatenate([_pair(t.before, t.word) if kind else t.word for t in lot])
                 values, counts = np.unique(keys, return_counts=True)
                 often = counts > share / 2 * len(keys)
                 found.append((kind, values[often], counts[often]))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._memory import lean
 from ._store import Scratch
-from ._text import distinct, mix, shingle_hashes, taken, word_hashes
+from ._text import distinct, gathered, mix, shingle_hashes, taken, word_hashes
 
 #: Share of all documents from which a shingle is common.
 COMMON = 0.01
@@ -161,10 +161,11 @@ def shingle_idf(docs: DataFrame, tmp: Scratch, text: str = "text", share: float
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
-        for docs_here, keys in sets(batches):
-            n += docs_here
-            values, counts = distinct(keys)
-            kept = counts > share / 2 * docs_here
+        for parts in gathered(sets(batches), lambda part: len(part[1]), CHUNK_SHINGLES * 10):
+            here = sum(docs_here for docs_here, _ in parts)
+            n += here
+            values, counts = distinct(np.concatenate([keys for _, keys in parts]))
+            kept = counts > share / 2 * here
             yield pa.RecordBatch.from_arrays([pa.array(values[kept].view(np.int64)), pa.array(counts[kept]), pa.nulls(int(kept.sum()), pa.int64())], ["shingle", "df", "docs"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([n], pa.int64())], ["shingle", "df", "docs"])
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from terrane.llm import _graph, _store, neardup
-from terrane.llm._text import distinct, shingle_hashes, word_hashes
+from terrane.llm._text import distinct, gathered, shingle_hashes, word_hashes
 
 from .helpers import clashing, empty, odd_docs, prose, sorted_rows, table
 
@@ -157,6 +157,15 @@ def test_one_of_each_class_stays(spark):
     assert neardup.drop_near_duplicates(spark, empty(spark)).isEmpty()
 
 
+def test_lots_are_large_and_whole():
+    r = np.random.default_rng(2)
+    for sizes in ([], [1], [5, 5, 5], [100], *(r.integers(0, 8, 40).tolist() for _ in range(30))):
+        lots = list(gathered(iter(sizes), int, 10))
+        assert [x for lot in lots for x in lot] == sizes
+        assert all(sum(lot) >= 10 for lot in lots) or len(lots) <= 1
+        assert all(sum(lot) < 40 for lot in lots) or 100 in sizes
+
+
 def test_words_of_long_texts_are_whole():
     text = prose(1, 300_000)
     (_, one), (_, two) = word_hashes([text, "ka"])

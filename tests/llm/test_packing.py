@@ -1,9 +1,11 @@
 import collections
 import itertools
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -11,7 +13,8 @@ from terrane.llm.packing import CAPACITY, cut, pack, pack_documents, parts, toke
 
 from .helpers import clashing, empty, odd_docs, prose, sorted_rows, table
 
-WORDS = tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+DATA = "/root/testdata/sf0.01"
+WORDS = tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def whole(text):
@@ -33,6 +36,12 @@ def test_long_texts_have_the_whole_texts_ids():
     assert len(parts(text)) > 1 and list(WORDS.ids(["a", text, ""])) == [whole("a"), whole(text), b""]
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_ids_of_all_documents_equal_the_tokenizer_files(spark):
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    assert all(a == whole(t) for a, t in zip(WORDS.ids([t or "" for t in texts]), texts, strict=True))
+
+
 def test_cut():
     assert cut(5) == [(0, 5)] and cut(1024) == [(0, 1024)] and cut(1025) == [(0, 1), (1, 1024)] and cut(2500) == [(0, 452), (452, 1024), (1476, 1024)]
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.llm._memory import small_batches
 from terrane.llm._store import Scratch
 from terrane.llm.line_dedup import dedup_lines
 from terrane.llm.mixing import mix
@@ -20,6 +21,7 @@ from terrane.llm.toxicity import drop_toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under the toxicity threshold."""
+    small_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -33,14 +33,15 @@ class Rules:
 def region_labels(regions: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Memberships and levels of open, corridor, junction, dead_end, pocket and alternative_route.
 
-    Reads id, degree, inradius, ellipse_ratio, fraction, is_endpoint, in_pocket
-    and on_alternative; an unknown input leaves its membership null and the
+    Reads id, degree, inradius, robot_radius, ellipse_ratio, fraction,
+    is_endpoint, in_pocket and on_alternative. Openness is the inscribed radius
+    in robot radii, unknown without positive ones; an unknown input leaves its membership null and the
     level 'unavailable', unless the degree alone decides.
     """
     if found := rules.problems():
         raise ValueError("; ".join(found))
     value = {
-        "open": g.sigmoid("inradius", str(rules.open[0]), str(rules.open[1])),
+        "open": _by_width("inradius", rules.open),
         "corridor": f"case when degree <> {rules.corridor_degree} then 0.0e0 else {g.sigmoid('ellipse_ratio', str(rules.corridor[0]), str(rules.corridor[1]))} end",
         "junction": f"case when degree < {rules.junction_degree} then 0.0e0 else {g.sigmoid('fraction', str(rules.junction[0]), str(rules.junction[1]))} end",
         "dead_end": f"case when degree <> {rules.dead_end_degree} or is_endpoint then 0.0e0 else 1.0e0 end",
@@ -51,13 +52,19 @@ def region_labels(regions: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return out.selectExpr("*", *(f"{g.membership(n, rules.active_at, rules.very_at)} as {n}_level" for n in value))
 
 
+def _by_width(radius: str, rule: tuple[float, float], decreasing: bool = False) -> str:
+    """The step of a radius in robot radii; null unless both are positive and finite."""
+    known = " and ".join(f"{x} > 0 and {x} < double('infinity')" for x in (radius, "robot_radius"))
+    return f"case when {known} then {g.sigmoid(f'{radius} / robot_radius', str(rule[0]), str(rule[1]), decreasing)} end"
+
+
 def connection_labels(connections: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Memberships and levels of narrow, critical and alternative_route; reads portal_inradius, required_clearance, fraction and on_alternative.
+    """Memberships and levels of narrow, critical and alternative_route; reads portal_inradius, robot_radius, fraction and on_alternative.
 
-    Width is measured by the portal's inscribed radius over the clearance, never by its length.
+    Width is the portal's inscribed radius in robot radii, never its length; unknown without positive ones.
     """
     value = {
-        "narrow": f"case when portal_inradius is null or required_clearance is null or required_clearance <= 0 then null else {g.sigmoid('portal_inradius / nullif(required_clearance, 0)', str(rules.narrow[0]), str(rules.narrow[1]), True)} end",
+        "narrow": _by_width("portal_inradius", rules.narrow, True),
         "critical": g.sigmoid("fraction", str(rules.critical[0]), str(rules.critical[1])),
         "alternative_route": "case when on_alternative is null then null when on_alternative then 1.0e0 else 0.0e0 end",
     }

@@ -30,7 +30,7 @@ def segment_validity(segments: DataFrame, walls: DataFrame, clearance: float) ->
     """(sid, distance, free): the least distance of each segment (sid, ax, ay, bx, by) from any wall, and whether its swept disk fits; ends are checked by ``state_validity``."""
     w = walls.selectExpr("ax as cx", "ay as cy", "bx as dx", "by as dy")
     d = g.segment_distance(("ax", "ay"), ("bx", "by"), ("cx", "cy"), ("dx", "dy"))
-    return segments.crossJoin(w).groupBy("sid").agg(F.expr(f"min({d})").alias("distance")).selectExpr("sid", "distance", f"distance >= {clearance} as free")
+    return segments.crossJoin(w).groupBy("sid").agg(F.expr(f"min({d})").alias("distance")).selectExpr("sid", "distance", f"distance + {g.TOL} >= {clearance} as free")
 
 
 def path_acceptance(points: DataFrame, start: tuple[float, float], goal: tuple[float, float], walls: DataFrame, clearance: float) -> DataFrame:

@@ -11,11 +11,13 @@ from . import graph, labels
 def prepare(edges: DataFrame, endpoints: DataFrame, regions: DataFrame, portals: DataFrame, *, k: int = 3, rules: labels.Rules = labels.Rules()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(regions, connections, status) with facts, fractions, memberships and levels.
 
-    ``regions`` has (graph, id, inradius, ellipse_ratio), ``portals`` (graph, a,
-    b, portal_inradius, required_clearance); unknown features stay unknown.
-    Fractions divide by the paths that were found, not by k.
+    ``regions`` has (graph, id, robot_radius, inradius, ellipse_ratio), those
+    without edges too, ``portals`` (graph, a, b, robot_radius,
+    portal_inradius); unknown features stay unknown. Fractions divide by the
+    paths that were found, not by k. Pockets and alternatives are unknown where
+    an edge lacks its reverse.
     """
-    facts = graph.route_facts(edges, endpoints, k).withColumn("fraction", F.expr("hits / nullif(returned, 0)"))
+    facts = graph.route_facts(edges, endpoints, k, regions).withColumn("fraction", F.expr("hits / nullif(returned, 0)"))
     of_regions = facts.where("b is null").drop("b", "mandatory").withColumnRenamed("a", "id").join(regions, ["graph", "id"], "left")
     of_connections = facts.where("b is not null").drop("degree", "is_endpoint", "in_pocket", "from_start", "to_goal").join(portals, ["graph", "a", "b"], "left")
     ends = endpoints.groupBy("graph").agg(F.count_if(F.col("role") == "start").alias("starts"), F.count_if(F.col("role") == "goal").alias("goals"))

@@ -17,29 +17,34 @@ def result_line(*fields: str) -> Column:
     return F.concat(F.lit("[RESULT] "), F.concat_ws(" ", *(F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in fields)))
 
 
+#: Fixed values of the log format: terminal sequences, the record's line and its fields, and a number.
+TERMINAL = "\x1b\\[[0-?]*[ -/]*[@-~]"
+RECORD, FIELD = r"\[RESULT\]\s+([^\r\n]*)", r"([A-Za-z_]+)=(\S+)"
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def parse_results(logs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds a column for each field of the last [RESULT] line of a log.
+    """Adds planner, guidance, success and the metrics of the last [RESULT] record of a log.
 
-    Terminal colours are taken out first; of a repeated key the last counts; a
-    record without a success flag or with a number that is not finite is null
-    throughout; a failed run has no solution time, length or ratio.
+    Terminal sequences are taken out first; of a repeated key the last counts. A
+    record that lacks a field, or has a metric that is no finite number, is null
+    throughout. A success other than 1 is a failure, which has no solution time,
+    length or ratio.
     """
-    clean = F.regexp_replace(text, "\x1b\\[[0-9;]*[A-Za-z]", "")
-    line = F.element_at(F.regexp_extract_all(clean, F.lit(r"(?m)\[RESULT\] ([^\r\n]*)"), F.lit(1)), -1)
-    with_line = logs.withColumn("_line", F.when(F.size(F.regexp_extract_all(clean, F.lit(r"(?m)\[RESULT\] ([^\r\n]*)"), F.lit(1))) > 0, line))
-
-    def value(name: str) -> Column:
-        return F.expr(f"element_at(nullif(regexp_extract_all(_line, '(?:^| ){name}=([^ ]+)', 1), array()), -1)")
-
-    out = with_line.withColumns({n: value(n) for n in ("planner", "guidance", "success", *METRICS)})
-    numbers = {n: F.expr(f"try_cast({n} as double)") for n in METRICS}
-    out = out.withColumns(numbers).withColumn("success", F.expr("case success when '1' then true when '0' then false end"))
-    sound = F.col("success").isNotNull()
-    for n in METRICS:
-        sound = sound & F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
-    out = out.withColumn("_sound", sound)
-    out = out.withColumns({n: F.when(F.col("_sound") & (F.col("success") | F.lit(n not in NULLED)), F.col(n)) for n in METRICS})
-    return out.withColumn("success", F.when(F.col("_sound"), F.col("success"))).drop("_line", "_sound")
+    fields = ("planner", "guidance", "success", *METRICS)
+    records = F.regexp_extract_all(F.regexp_replace(text, TERMINAL, ""), F.lit(RECORD), F.lit(1))
+    out = logs.withColumn("_line", F.try_element_at(records, F.lit(-1)))
+    out = out.withColumns({"_keys": F.regexp_extract_all("_line", F.lit(FIELD), F.lit(1)), "_values": F.regexp_extract_all("_line", F.lit(FIELD), F.lit(2))})
+    out = out.withColumns({f: F.expr(f"try_element_at(filter(_values, (v, i) -> _keys[i] = '{f}'), -1)") for f in fields})
+    sound = F.lit(True)
+    for f in fields:
+        sound = sound & F.col(f).isNotNull()
+    for m in METRICS:
+        sound = sound & F.col(m).rlike(NUMBER) & (F.abs(F.expr(f"try_cast({m} as double)")) < float("inf"))
+    out = out.withColumn("_sound", F.coalesce(sound, F.lit(False)))
+    known = {"planner": F.col("planner"), "guidance": F.col("guidance"), "success": F.col("success") == "1"}
+    known |= {m: F.when((F.col("success") == "1") | F.lit(m not in NULLED), F.expr(f"try_cast({m} as double)")) for m in METRICS}
+    return out.withColumns({f: F.when(F.col("_sound"), v) for f, v in known.items()}).drop("_line", "_keys", "_values", "_sound")
 
 
 def summarize(runs: DataFrame, by: tuple[str, ...] = ("planner", "mode"), metrics: tuple[str, ...] = METRICS) -> DataFrame:

@@ -25,10 +25,11 @@ def density_decay(regions: DataFrame, visits: DataFrame, *, interval: int = INTE
     Scores change every ``interval`` nodes, so nodes after the last whole epoch
     do not count, and before the first the base stands.
     """
-    number = F.row_number().over(Window.orderBy("seq"))
     total = visits.count()
     whole = total // interval * interval
-    counted = visits.withColumn("n", number).where(F.col("n") <= whole) if whole != total else visits
+    # The last nodes that fill no epoch are fewer than the interval: a top-k, not a sort of all.
+    late = visits.orderBy(F.desc("seq")).limit(total - whole).agg(F.min("seq")).first()[0] if whole != total else None
+    counted = visits if late is None else visits.where(F.col("seq") < F.lit(late))
     counts = counted.where("id is not null").groupBy("id").agg(F.count("*").alias("nodes"))
     protected = f"case when protected then {PROTECTED_STRENGTH} else {STRENGTH} end" if "protected" in regions.columns else str(STRENGTH)
     out = regions.join(counts, "id", "left").selectExpr("id", "coalesce(nodes, 0) as nodes", "coalesce(nodes, 0) / area as density", "base", f"{decayed('base', 'coalesce(nodes, 0)', 'area', protected) if whole else 'base'} as adjusted")
@@ -43,9 +44,19 @@ def cumulative(weights: DataFrame, weight: str, order: str, keys: tuple[str, ...
     return weights.withColumns({"hi": hi}).withColumn("lo", F.coalesce(F.lag("hi").over(Window.partitionBy(*keys).orderBy(order)), F.lit(0.0)))
 
 
+#: Equal parts of [0, 1) on which draws and shares meet.
+PARTS = 1024
+
+
 def pick(draws: DataFrame, shares: DataFrame, u: str = "u1") -> DataFrame:
-    """Each draw with the row whose share holds its uniform number: inverse-CDF lookup (shares: a map's regions, broadcast by Spark's size check)."""
-    return draws.join(shares, (F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi")))
+    """Each draw with the row whose share holds its uniform number: inverse-CDF lookup.
+
+    Draws and shares meet on equal parts of [0, 1), so the join has a key; a
+    share goes to each part that it touches, PARTS rows more than shares in all.
+    """
+    placed = draws.withColumn("_part", F.expr(f"cast(floor({u} * {PARTS}) as int)"))
+    spread = shares.withColumn("_part", F.expr(f"explode(sequence(cast(floor(lo * {PARTS}) as int), cast(floor(least(hi, 1e0) * {PARTS}) as int)))"))
+    return placed.join(spread, "_part").where((F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi"))).drop("_part")
 
 
 def barycentric(a: tuple[str, str], b: tuple[str, str], c: tuple[str, str], u: str = "u2", v: str = "u3") -> tuple[str, str]:
@@ -75,9 +86,10 @@ def portal_samples(draws: DataFrame, portals: DataFrame) -> DataFrame:
 
 
 def informed_samples(draws: DataFrame, best: float, start: tuple[float, float], goal: tuple[float, float]) -> DataFrame:
-    """draw, x, y: uniform in the ellipse of paths no longer than ``best`` (radius by u1, heading by u2)."""
+    """draw, x, y: the plane's part of a uniform draw from the ball (radius by u1, height by u2, heading by u3), stretched to the ellipse of paths no longer than ``best``."""
     e = g.informed_set(f"{best!r}", *(f"{v!r}" for v in (*start, *goal)))
-    out = draws.selectExpr("draw", f"{e['major']} * sqrt(u1) * cos(2 * pi() * u2) as ex", f"{e['minor']} * sqrt(u1) * sin(2 * pi() * u2) as ey")
+    ball = draws.selectExpr("draw", "pow(u1, 0.33333e0) as r", "2 * u2 - 1 as h", "2 * pi() * u3 as t")
+    out = ball.selectExpr("draw", f"{e['major']} * r * sqrt(1 - h * h) * cos(t) as ex", f"{e['minor']} * r * sqrt(1 - h * h) * sin(t) as ey")
     return out.selectExpr("draw", f"{e['centre_x']} + ex * cos({e['heading']}) - ey * sin({e['heading']}) as x", f"{e['centre_y']} + ex * sin({e['heading']}) + ey * cos({e['heading']}) as y")
 
 

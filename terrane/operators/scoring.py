@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 STATUSES = ("scored", "insufficient_data")
 LONGEST_REASON = 320
 HIGHEST_SCORE = 10
-#: Labels an explanation may claim, by the words that claim them; characters looked back for a negation.
+#: The words that claim a label, or that a connection lies on every path; the words that take a claim
+#: back, and how many characters before it they are looked for.
 CLAIMS = {
+    "junction": r"\bjunction\b",
+    "corridor": r"\bcorridor\b",
     "open": r"\bopen\b",
-    "corridor": r"\bcorridor",
-    "junction": r"\bjunction",
-    "dead_end": r"\bdead[- ]end",
-    "pocket": r"\bpocket",
-    "alternative_route": r"\balternative\b",
-    "narrow": r"\bnarrow",
-    "critical": r"\bcritical",
+    "dead_end": r"\bdead[- ]end\b",
+    "pocket": r"\bpocket\b",
+    "narrow": r"\bnarrow\b",
+    "critical": r"\bcritical\b",
+    "alternative_route": r"\balternative route\b",
 }
 NEGATION = r"\b(no|not|without|inactive|unavailable|missing)\b"
 LOOK_BACK = 45
-NECESSITY, NECESSITY_NEGATION, NECESSITY_LOOK_BACK = r"\b(must|mandatory|necessary|only (way|route|path))\b", r"\b(no|not|without)\b", 30
+NECESSITY = r"\b(mandatory|unavoidable|required on all|every path)\b"
+NECESSITY_NEGATION, NECESSITY_LOOK_BACK = r"\b(no|not|without)\b", 30
 
 
 def answer_problems(status: str = "status", score: str = "score", reason: str = "reason") -> str:
@@ -56,15 +58,15 @@ def _unnegated(text: str, pattern: str, negation: str, back: int) -> str:
     return f"case when size({marked}) < 2 then false else exists({before}, b -> not regexp_like(b, '{negation}')) end"
 
 
-def review_flags(items: DataFrame, text: str = "reason", levels: str = "levels", proven: str = "mandatory") -> DataFrame:
-    """Adds ``flags``: claimed labels that are not active, and 'necessity' where it is claimed but not proven.
+def review_flags(items: DataFrame, text: str = "reason", levels: str = "levels", proven: str = "mandatory", connection: str = "connection") -> DataFrame:
+    """Adds ``flags``: claimed labels that are not active, and 'necessity' where a connection's is claimed but not proven.
 
-    ``levels`` is a map from label to level; a claim counts unless a negation
-    stands in the characters before it.
+    ``levels`` is a map from label to level, ``connection`` whether the item is
+    one; a claim counts unless a negation stands in the characters before it.
     """
     low = f"lower(coalesce({text}, ''))"
     parts = [f"case when {_unnegated(low, p, NEGATION, LOOK_BACK)} and coalesce({levels}['{name}'], 'unavailable') not in ('active', 'very') then '{name}' end" for name, p in CLAIMS.items()]
-    parts.append(f"case when {_unnegated(low, NECESSITY, NECESSITY_NEGATION, NECESSITY_LOOK_BACK)} and not coalesce({proven}, false) then 'necessity' end")
+    parts.append(f"case when {_unnegated(low, NECESSITY, NECESSITY_NEGATION, NECESSITY_LOOK_BACK)} and coalesce({connection}, false) and not coalesce({proven}, false) then 'necessity' end")
     quoted = [p.replace("\\b", "\\\\b") for p in parts]
     return items.withColumn("flags", F.expr(f"filter(array({', '.join(quoted)}), f -> f is not null)"))
 

@@ -73,11 +73,29 @@ def shell(spark: SparkSession, box: tuple[int, int, int]) -> DataFrame:
     return grid.where(f"i * j * k * ({box[0] - 1} - i) * ({box[1] - 1} - j) * ({box[2] - 1} - k) = 0")
 
 
+#: Values that are sorted to find an order statistic; more are narrowed down by quantiles first.
+SORTED = 100_000
+
+
+def order_statistic(values: DataFrame, value: str, rank: int) -> float:
+    """The value of ``rank`` (from 0) in ascending order: bracketed by quantile sketches and exact counts, then sorted within the bracket."""
+    inside, below = values.select(F.col(value).cast("double").alias("v")).where("v is not null"), 0
+    n = inside.count()
+    while n > SORTED:
+        at = (rank - below) / n
+        low, high = inside.approxQuantile("v", [max(0.0, at - 0.01), min(1.0, at + 0.01)], 0.004)
+        under, upto = inside.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v") <= high)).first()
+        if not under <= rank - below < upto or upto - under == n:
+            break
+        if low == high:
+            return low
+        inside, below, n = inside.where(F.col("v").between(low, high)), below + under, upto - under
+    return inside.orderBy("v").offset(rank - below).limit(1).first()[0]
+
+
 def threshold_at_fill(values: DataFrame, value: str, fill: float) -> DataFrame:
     """The rows above the (1 - fill) order statistic of ``value``."""
-    n = values.count()
+    n = values.where(F.col(value).isNotNull()).count()
     if not n:
-        return values
-    rank = min(max(int((1 - fill) * n), 0), n - 1)
-    cut_at = values.orderBy(value).offset(rank).limit(1).select(F.col(value).alias("_cut"))
-    return values.crossJoin(cut_at).where(F.col(value) > F.col("_cut")).drop("_cut")
+        return values.limit(0)
+    return values.where(F.col(value) > F.lit(order_statistic(values, value, min(max(int((1 - fill) * n), 0), n - 1))))

@@ -44,11 +44,11 @@ def spatial_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(p.selectExpr("source", "target", "portal_width", "safe_portal_width", "(safe_px + safe_qx) / 2 as mx", "(safe_py + safe_qy) / 2 as my"), "portal_width", "safe_portal_width", "mx", "my")
 
 
-@query(rel.sql("select c.id, 100.0e0 as area, 40.0e0 as perimeter, c.x0 + 5 as centroid_x, c.y0 + 5 as centroid_y, count(o.id) as degree, round(count(o.id) * 10 / 40.0e0, 6) as conductance, round(count(o.id) * 7 / 40.0e0, 6) as safe_conductance from cells c left join cells o on abs(c.x0 - o.x0) + abs(c.y0 - o.y0) = 10 group by c.id, c.x0, c.y0", "cells"))
+@query(rel.sql("select c.id, 100.0e0 as area, 40.0e0 as perimeter, c.x0 + 5 as centroid_x, c.y0 + 5 as centroid_y, count(o.id) as degree, count(o.id) as safe_degree, round(count(o.id) * 10 / 40.0e0, 6) as conductance, round(count(o.id) * 7 / 40.0e0, 6) as safe_conductance from cells c left join cells o on abs(c.x0 - o.x0) + abs(c.y0 - o.y0) = 10 group by c.id, c.x0, c.y0", "cells"))
 def region_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = rel.cell_vertices(spark, sf_dir)
     d = spatial.region_descriptors(v, spatial.shared_portals(v, clearance_=1.5))
-    return _rounded(d.drop("safe_degree"), "area", "perimeter", "centroid_x", "centroid_y", "conductance", "safe_conductance")
+    return _rounded(d, "area", "perimeter", "centroid_x", "centroid_y", "conductance", "safe_conductance")
 
 
 @query(rel.sql(f"select a.id as source, b.id as target, 10.0e0 as cost from {_NEIGHBOURS}", "cells"))
@@ -229,7 +229,7 @@ def tree_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Labels.
 
-_FEATURES = "select s_suppkey as id, s_suppkey % 5 as degree, case when s_suppkey % 7 = 0 then null else cast(s_suppkey % 11 as double) end as inradius, case when s_suppkey % 6 = 0 then null else cast(s_suppkey % 9 as double) / 2 end as ellipse_ratio, case when s_suppkey % 8 = 0 then null else cast(s_suppkey % 4 as double) / 3 end as fraction, s_suppkey % 10 = 0 as is_endpoint, s_suppkey % 3 = 0 as in_pocket, case when s_suppkey % 4 = 0 then null else s_suppkey % 2 = 0 end as on_alternative"
+_FEATURES = "select s_suppkey as id, s_suppkey % 5 as degree, case when s_suppkey % 7 = 0 then null else cast(s_suppkey % 11 as double) end as inradius, case when s_suppkey % 9 = 0 then 0.0e0 when s_suppkey % 10 = 0 then null else 0.5e0 + s_suppkey % 3 end as robot_radius, case when s_suppkey % 6 = 0 then null else cast(s_suppkey % 9 as double) / 2 end as ellipse_ratio, case when s_suppkey % 8 = 0 then null else cast(s_suppkey % 4 as double) / 3 end as fraction, s_suppkey % 10 = 0 as is_endpoint, s_suppkey % 3 = 0 as in_pocket, case when s_suppkey % 4 = 0 then null else s_suppkey % 2 = 0 end as on_alternative"
 
 
 def _level(v: str) -> str:
@@ -237,18 +237,18 @@ def _level(v: str) -> str:
 
 
 @query(
-    f"select *, {', '.join(_level(n) + f' as {n}_level' for n in ('open', 'corridor', 'junction', 'dead_end'))} from (select id, round(1 / (1 + exp(-(inradius - 5) / 1.0)), 6) as open, round(case when degree <> 2 then 0.0 else 1 / (1 + exp(-(ellipse_ratio - 3) / 0.5)) end, 6) as corridor, round(case when degree < 3 then 0.0 else 1 / (1 + exp(-(fraction - 0.3) / 0.1)) end, 6) as junction, case when degree = 1 and not is_endpoint then 1.0e0 else 0.0e0 end as dead_end from ({_FEATURES} from supplier) f) l"
+    f"select *, {', '.join(_level(n) + f' as {n}_level' for n in ('open', 'corridor', 'junction', 'dead_end', 'pocket', 'alternative_route'))} from (select id, round(case when inradius > 0 and robot_radius > 0 then 1 / (1 + exp(-(inradius / robot_radius - 5) / 1.0)) end, 6) as open, round(case when degree <> 2 then 0.0 else 1 / (1 + exp(-(ellipse_ratio - 3) / 0.5)) end, 6) as corridor, round(case when degree < 3 then 0.0 else 1 / (1 + exp(-(fraction - 0.3) / 0.1)) end, 6) as junction, case when degree = 1 and not is_endpoint then 1.0e0 else 0.0e0 end as dead_end, case when in_pocket then 1.0e0 else 0.0e0 end as pocket, case when on_alternative is null then null when on_alternative then 1.0e0 else 0.0e0 end as alternative_route from ({_FEATURES} from supplier) f) l"
 )
 def region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = spark.sql(_FEATURES + " from {supplier}", supplier=rel.table(spark, sf_dir, "supplier"))
-    out = labels.region_labels(f).select("id", "open", "corridor", "junction", "dead_end", "open_level", "corridor_level", "junction_level", "dead_end_level")
+    out = labels.region_labels(f).drop("degree", "inradius", "robot_radius", "ellipse_ratio", "fraction", "is_endpoint", "in_pocket", "on_alternative")
     return _rounded(out, "open", "corridor", "junction")
 
 
-_CONNECTIONS = "select c_custkey as id, case when c_custkey % 7 = 0 then null else cast(c_custkey % 13 as double) / 10 end as portal_inradius, case when c_custkey % 9 = 0 then 0.0e0 else 0.35e0 end as required_clearance, case when c_custkey % 5 = 0 then null else cast(c_custkey % 4 as double) / 3 end as fraction, c_custkey % 2 = 0 as on_alternative"
+_CONNECTIONS = "select c_custkey as id, case when c_custkey % 7 = 0 then null else cast(c_custkey % 13 as double) / 10 end as portal_inradius, case when c_custkey % 9 = 0 then 0.0e0 else 0.25e0 end as robot_radius, case when c_custkey % 5 = 0 then null else cast(c_custkey % 4 as double) / 3 end as fraction, c_custkey % 2 = 0 as on_alternative"
 
 
-@query(f"select *, {_level('narrow')} as narrow_level, {_level('critical')} as critical_level from (select id, round(case when required_clearance > 0 then 1 / (1 + exp((portal_inradius / required_clearance - 2) / 0.3)) end, 6) as narrow, round(1 / (1 + exp(-(fraction - 0.8) / 0.05)), 6) as critical from ({_CONNECTIONS} from customer) c) l")
+@query(f"select *, {_level('narrow')} as narrow_level, {_level('critical')} as critical_level from (select id, round(case when robot_radius > 0 and portal_inradius > 0 then 1 / (1 + exp((portal_inradius / robot_radius - 2) / 0.3)) end, 6) as narrow, round(1 / (1 + exp(-(fraction - 0.8) / 0.05)), 6) as critical from ({_CONNECTIONS} from customer) c) l")
 def connection_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = spark.sql(_CONNECTIONS + " from {customer}", customer=rel.table(spark, sf_dir, "customer"))
     return _rounded(labels.connection_labels(f).select("id", "narrow", "critical", "narrow_level", "critical_level"), "narrow", "critical")
@@ -305,7 +305,7 @@ def portal_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sampling.portal_samples(rel.draws(spark, sf_dir), portals), "x", "y")
 
 
-@query(rel.sql("select draw, round(25 + 30 * sqrt(u1) * cos(2 * pi() * u2), 6) as x, round(25 + sqrt(60.0e0 * 60 - 40 * 40) / 2 * sqrt(u1) * sin(2 * pi() * u2), 6) as y from draws", "draws"))
+@query(rel.sql("select draw, round(25 + 30 * r * cos(t), 6) as x, round(25 + sqrt(60.0e0 * 60 - 40 * 40) / 2 * r * sin(t), 6) as y from (select draw, pow(u1, 0.33333e0) * sqrt(1 - (2 * u2 - 1) * (2 * u2 - 1)) as r, 2 * pi() * u3 as t from draws) d", "draws"))
 def informed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sampling.informed_samples(rel.draws(spark, sf_dir), 60.0, (5.0, 25.0), (45.0, 25.0)), "x", "y")
 
@@ -347,16 +347,19 @@ def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.running_best(r, ("planner", "mode"), "seed", "path_length").select("planner", "mode", "seed", "path_length")
 
 
-_LOG = "planner, guidance, success, planning_time_ms, path_length, iterations"
-
-
-@query(rel.sql("select seed, planner, mode as guidance, success, round(planning_time_ms, 6) as planning_time_ms, case when success then round(path_length, 6) end as path_length, iterations from (select seed, 'p' || seed as planner, mode, success, planning_time_ms, round(coalesce(path_length, -1), 3) as path_length, iterations from runs) r", "runs"))
+@query(
+    rel.sql(
+        "select seed, case when sound then 'p' || seed end as planner, case when sound then mode end as guidance, case when sound then won end as success, case when sound then round(planning_time_ms, 6) end as planning_time_ms, case when sound and won then 1.5e0 end as time_to_first_solution_ms, case when sound and won then round(path_length, 6) end as path_length, case when sound then 2.0e0 end as straight_line_distance, case when sound and won then 3.0e0 end as path_length_ratio, case when sound then iterations end as iterations, case when sound then 7.0e0 end as nodes_added from (select seed, mode, success and seed % 13 <> 0 as won, seed % 11 not in (0, 1) as sound, planning_time_ms, round(coalesce(path_length, -1), 3) as path_length, iterations from runs) r",
+        "runs",
+    )
+)
 def parsed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines written by the library and read back; a noise line, a colour and an earlier record stand before each."""
-    r = rel.runs(spark, sf_dir).selectExpr("seed", "concat('p', cast(seed as string)) as planner", "mode as guidance", "cast(success as int) as success", "planning_time_ms", "1.5e0 as time_to_first_solution_ms", "cast(round(coalesce(path_length, -1), 3) as decimal(18,3)) as path_length", "2.0e0 as straight_line_distance", "3.0e0 as path_length_ratio", "iterations", "7 as nodes_added")
-    lines = r.select("seed", F.concat(F.lit("noise\n[RESULT] planner=old success=0\n\x1b[32m"), runs.result_line("planner", "guidance", "success", *runs.METRICS), F.lit("\x1b[0m\ndone")).alias("text"))
-    out = runs.parse_results(lines).select("seed", "planner", "guidance", "success", "planning_time_ms", "path_length", "iterations")
-    return _rounded(out, "planning_time_ms", "path_length")
+    """Log lines written by the library and read back; a noise line, colours and an earlier record stand around each, some lack a field or a finite number."""
+    r = rel.runs(spark, sf_dir).selectExpr("seed", "concat('p', cast(seed as string)) as planner", "mode as guidance", "case when seed % 13 = 0 then 2 else cast(success as int) end as success", "planning_time_ms", "1.5e0 as time_to_first_solution_ms", "cast(round(coalesce(path_length, -1), 3) as decimal(18,3)) as path_length", "2.0e0 as straight_line_distance", "3.0e0 as path_length_ratio", "iterations", "case when seed % 11 = 0 then 'nan' else '7' end as nodes_added")
+    line = F.regexp_replace(runs.result_line("planner", "guidance", "success", *runs.METRICS), " ", "  ")
+    line = F.when(F.expr("seed % 11 = 1"), F.regexp_replace(line, "guidance=", "guided=")).otherwise(line)
+    lines = r.select("seed", F.concat(F.lit("noise\n[RESULT] planner=old success=0\n\x1b[1;32m"), line, F.lit("\x1b[0m planner_note=x\ndone")).alias("text"))
+    return _rounded(runs.parse_results(lines).drop("text"), "planning_time_ms", "path_length")
 
 
 @query("select user_id as path, count(*) as points, round(coalesce(sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))), 0), 6) as path_length from (select *, lead(x) over w as nx, lead(y) over w as ny from (select user_id, event_id, cast((event_id * 13) % 501 as double) as x, value as y from events) e window w as (partition by user_id order by event_id)) s group by user_id")
@@ -403,19 +406,38 @@ def answer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_ANSWERS + " from {documents}", documents=rel.table(spark, sf_dir, "documents")).selectExpr("doc_id", f"{scoring.answer_problems()} as problem")
 
 
-@query(
-    "select i as id, case i % 4 when 0 then [] when 1 then ['open'] when 2 then [] else ['pocket', 'necessity'] end as flags from (select n_nationkey as i from nation) n"
-)
+_OPENINGS = ("", "not ", "There is no ", "A wide ", "Without any doubt, after a long and winding tale, ", "Unavailable here: ", "This is nothing but a ")
+_WORDS = ("open", "corridor", "junction", "dead-end", "dead end", "pocket", "narrow", "critical", "alternative route", "alternative way", "mandatory", "unavoidable", "required on all", "every path", "must be crossed", "opening")
+_ENDINGS = (" region.", ", not a corridor", " and open", ".", ", no, an unavoidable one")
+
+
+def _picked(words: tuple[str, ...], by: str) -> str:
+    return f"case {by} % {len(words)} " + " ".join(f"when {k} then '{w}'" for k, w in enumerate(words)) + " end"
+
+
+_REASONS = f"select c_custkey as id, concat({_picked(_OPENINGS, 'c_custkey')}, {_picked(_WORDS, '(c_custkey % 97)')}, {_picked(_ENDINGS, '(c_custkey % 89)')}) as reason, c_custkey % 2 = 0 as connection, case when c_custkey % 3 = 0 then null else c_custkey % 7 = 0 end as mandatory, c_custkey % 5 = 0 as wide"
+
+
+def _claimed(pattern: str, back: int, negation: str) -> str:
+    """A match that begins at i with no negation in the characters before it."""
+    plain_ = pattern.removeprefix("\\b")
+    at = f"regexp_matches(substr(t, i), '^{plain_}') and not regexp_matches(substr(t, i - 1, case when i > 1 then 1 else 0 end), '[0-9a-z_]')"
+    return f"len(list_filter(range(1, length(t) + 1), lambda i: {at} and not regexp_matches(substr(t, greatest(i - {back}, 1), least({back}, i - 1)), '{negation}'))) > 0"
+
+
+_FLAGS = ", ".join(f"case when {_claimed(p, 45, scoring.NEGATION)} and not {'wide' if n == 'open' else 'true' if n == 'corridor' else 'false'} then '{n}' end" for n, p in scoring.CLAIMS.items())
+
+
+@query(f"select id, list_filter([{_FLAGS}, case when connection and not coalesce(mandatory, false) and {_claimed(scoring.NECESSITY, 30, scoring.NECESSITY_NEGATION)} then 'necessity' end], lambda f: f is not null) as flags from (select *, lower(reason) as t from ({_REASONS} from customer) c) x")
 def explanation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = "case id % 4 when 0 then 'This region is not open.' when 1 then 'A wide open region.' when 2 then 'A corridor of normal width.' else 'The pocket must be crossed here.' end"
-    items = rel.table(spark, sf_dir, "nation").selectExpr("n_nationkey as id").selectExpr("id", f"{texts} as reason", "map('corridor', 'active') as levels", "false as mandatory")
+    items = spark.sql(_REASONS + " from {customer}", customer=rel.table(spark, sf_dir, "customer")).selectExpr("*", "map('corridor', 'active', 'open', case when wide then 'very' else 'inactive' end) as levels")
     return scoring.review_flags(items).select("id", "flags")
 
 
-@query(rel.sql("select kind, count(*) as n from (select 'region' as kind from cells union all select 'connection' from cell_edges where source < target) t group by kind", "cells", "cell_edges"))
+@query(rel.sql("select 'region' as kind, id as item from cells union all select distinct 'connection', least(source, target) || '|' || greatest(source, target) from cell_edges", "cells", "cell_edges"))
 def task_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = graph.undirected(rel.cell_edges(spark, sf_dir)).withColumn("shut", F.lit(False))
-    return scoring.task_list(rel.cells(spark, sf_dir), c).groupBy("kind").agg(F.count("*").alias("n"))
+    return scoring.task_list(rel.cells(spark, sf_dir), c).select("kind", "item")
 
 
 @query(rel.sql("select 'region' as kind, id as item from cells where k % 3 <> 0", "cells"))
@@ -517,7 +539,7 @@ def convex_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planner_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = _room(spark, sf_dir)
     one = [spark.createDataFrame([(x,) for x in v], f"{n} string") for n, v in (("planner", planners.PLANNERS), ("mode", ("none",)))]
-    jobs = runs.job_matrix(maps.select("map").limit(1), *one, spark.range(42, 44).withColumnRenamed("id", "seed"))
+    jobs = runs.job_matrix(maps.select("map"), *one, spark.range(42, 44).withColumnRenamed("id", "seed"))
     return planners.run_jobs(jobs, maps, iterations=400)
 
 
@@ -531,19 +553,20 @@ def _rings(spark: SparkSession, **named: tuple) -> DataFrame:
 _TO_HOLE = "sqrt(greatest(20 - x, x - 30, 0) * greatest(20 - x, x - 30, 0) + greatest(20 - y, y - 30, 0) * greatest(20 - y, y - 30, 0))"
 
 
-@query(rel.sql(f"select pid, x <= 50 and y <= 50 as inside, x between 20 and 30 and y between 20 and 30 as blocked, x <= 50 and y <= 50 and not (x between 20 and 30 and y between 20 and 30) and least(x, y, 50 - x, 50 - y, {_TO_HOLE}) + 1e-9 >= 1 as valid from points", "points"))
+_IN_HOLE = "x between 20 and 30 and y between 20 and 30"
+
+
+@query(rel.sql(f"select *, inside and not blocked and clearance + 1e-9 >= 1 as valid from (select pid, x <= 50 and y <= 50 as inside, {_IN_HOLE} as blocked, round(least(x, y, 50 - x, 50 - y, case when {_IN_HOLE} then least(x - 20, 30 - x, y - 20, 30 - y) else {_TO_HOLE} end), 6) as clearance from points) p", "points"))
 def state_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     boundary = _rings(spark, b=((0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0)))
-    return maps.state_validity(rel.points(spark, sf_dir), boundary, _rings(spark, h=_HOLE), 1.0).drop("clearance")
+    return _rounded(maps.state_validity(rel.points(spark, sf_dir), boundary, _rings(spark, h=_HOLE), 1.0), "clearance")
 
 
-@query(rel.sql("select pid as sid, case when x >= 20 and y >= 20 then least(greatest(y - 30, 0), 1e9) <= 0 or x <= 30 else x <= 30 and y >= 20 end as unused, y <= 19 or x > 31 as clear from points", "points").replace("case when x >= 20 and y >= 20 then least(greatest(y - 30, 0), 1e9) <= 0 or x <= 30 else x <= 30 and y >= 20 end as unused, ", "").replace("y <= 19 or x > 31", "x < 19 or x > 31 or y < 19"))
+@query(rel.sql("select pid as sid, round(sqrt(dx * dx + dy * dy), 6) as distance, sqrt(dx * dx + dy * dy) + 1e-9 >= 1 as free from (select pid, greatest(20 - x, x - 30, 0) as dx, greatest(20 - y, 0) as dy from points) p", "points"))
 def segment_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vertical segments from the floor up to each point against the walls of a square hole; a clearance of 1 is open to rounding at the corners, so points near them are as the box says."""
+    """Vertical segments from the floor up to each point against the walls of a square hole."""
     p = rel.points(spark, sf_dir).selectExpr("pid as sid", "x as ax", "0.0e0 as ay", "x as bx", "y as by")
-    out = maps.segment_validity(p, rings.edges(_rings(spark, h=_HOLE)), 1.0)
-    box = p.selectExpr("sid", "greatest(20 - ax, ax - 30, 0.0e0) as dx", "greatest(20 - by, 0.0e0) as dy")
-    return out.join(box, "sid").selectExpr("sid", "greatest(dx, dy) > 1 + 1e-9 or (dx > 0 and dy > 0 and greatest(dx, dy) > 1 + 1e-9) or (free and not (dx <= 1 and dy <= 1)) as clear")
+    return _rounded(maps.segment_validity(p, rings.edges(_rings(spark, h=_HOLE)), 1.0), "distance")
 
 
 @query(rel.sql("select cast(id as varchar) as id, 'crossing' as problem from quads0 where id % 4 = 1", "quads0"))
@@ -579,8 +602,8 @@ def furniture_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = rel.cell_edges(spark, sf_dir).withColumn("graph", F.lit("grid"))
     ends = spark.createDataFrame([("grid", "NATION_0", "start"), ("grid", "NATION_24", "goal")], "graph string, id string, role string")
-    features = rel.cells(spark, sf_dir).selectExpr("'grid' as graph", "id", "5.0e0 as inradius", "case when k % 5 = 0 then null else 1.0e0 + k % 4 end as ellipse_ratio")
-    portals = graph.undirected(e).selectExpr("'grid' as graph", "a", "b", "5.0e0 as portal_inradius", "1.5e0 as required_clearance")
+    features = rel.cells(spark, sf_dir).selectExpr("'grid' as graph", "id", "5.0e0 as inradius", "1.0e0 as robot_radius", "case when k % 5 = 0 then null else 1.0e0 + k % 4 end as ellipse_ratio")
+    portals = graph.undirected(e).selectExpr("'grid' as graph", "a", "b", "5.0e0 as portal_inradius", "2.0e0 as robot_radius")
     return prepare.prepare(e, ends, features, portals)
 
 
@@ -589,9 +612,17 @@ def prepared_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_prepared(spark, sf_dir)[0].select("id", "hits", "fraction", "degree", "from_start", "open_level"), "fraction")
 
 
-@query()
+@query(
+    rel.sql(
+        _PATHS
+        + ", whole as (select path, cost, row_number() over (order by cost, path) as rank from walk where here = 'NATION_24'), hops as (select distinct rank, least(path[i], path[i + 1]) as a, greatest(path[i], path[i + 1]) as b from (select rank, path, unnest(range(1, len(path))) as i from whole) s), links as (select distinct least(source, target) as a, greatest(source, target) as b from cell_edges), counted as (select l.a, l.b, cast(count_if(h.rank <= 3) as int) as hits, count(h.rank) as passes from links l left join hops h using (a, b) group by l.a, l.b)"
+        + " select 'grid' as graph, a, b, hits, cast(3 as int) as returned, round(hits / 3.0e0, 6) as fraction, passes > 0 as on_route, passes = (select count(*) from whole) as mandatory, true as reciprocal, round(1 / (1 + exp((2.5e0 - 2) / 0.3e0)), 6) as narrow, round(1 / (1 + exp(-(hits / 3.0e0 - 0.8e0) / 0.05e0)), 6) as critical, 'inactive' as narrow_level, case when hits = 3 then 'very' else 'inactive' end as critical_level from counted",
+        "cells", "cell_edges", recursive=True,
+    )
+)
 def prepared_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prepared(spark, sf_dir)[1]
+    out = _prepared(spark, sf_dir)[1]
+    return _rounded(out.select("graph", "a", "b", "hits", "returned", "fraction", "on_route", "mandatory", "reciprocal", "narrow", "critical", "narrow_level", "critical_level"), "fraction", "narrow", "critical")
 
 
 @query("select 'grid' as graph, 'connected' as status, 3 as returned")

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from terrane.plans import catalog
@@ -26,7 +27,7 @@ def plain(value):
         return tuple(plain(x) for x in value)
     if hasattr(value, "item"):
         value = value.item()
-    if value is None or value != value:
+    if value is None or value is pd.NA or value is pd.NaT or value != value:
         return None
     return round(float(value), 5) + 0.0 if isinstance(value, float) else value
 

@@ -99,7 +99,7 @@ def test_decay_waits_for_whole_epochs(spark):
 
 
 def test_result_records(spark):
-    base = " ".join(f"{m}=1.0" for m in runs.METRICS)
+    base = " ".join(["guidance=none", *(f"{m}=1.0" for m in runs.METRICS)])
     logs = spark.createDataFrame([(1, f"[RESULT] planner=p success=0 {base}"), (2, "nothing"), (3, f"[RESULT] planner=q success=1 {base.replace('=1.0', '=nan', 1)}"), (4, f"[RESULT] planner=a success=1 {base}\n\x1b[1m[RESULT] planner=b success=1 planner=c {base}\x1b[0m")], "id int, text string")
     out = {r.id: r for r in runs.parse_results(logs).collect()}
     assert out[1].success is False and out[1].path_length is None and out[1].planning_time_ms == 1.0
@@ -198,6 +198,37 @@ def test_disconnected_ends(spark):
     assert f["S"].returned == 0 and f["A", "S"].on_alternative is None and f["G"].from_start is None
 
 
+def test_regions_without_edges_and_one_way_graphs(spark):
+    from terrane.operators import prepare
+
+    edges = [("m", "a", "b", 1.0), ("m", "b", "a", 1.0), ("o", "a", "b", 1.0), ("o", "b", "c", 1.0), ("o", "c", "b", 1.0), ("e", "a", "b", 1.0), ("e", "b", "a", 1.0)]
+    ends = [("m", "a", "start"), ("m", "b", "goal"), ("o", "a", "start"), ("o", "c", "goal"), ("e", "a", "start"), ("e", "z", "goal")]
+    regions = [(g_, x, 2.0, 0.5, None) for g_, x in (("m", "a"), ("m", "b"), ("m", "z"), ("o", "a"), ("o", "b"), ("o", "c"), ("e", "z"))] + [("e", "a", 2.0, None, 1.0)]
+    portals = spark.createDataFrame([], "graph string, a string, b string, portal_inradius double, robot_radius double")
+    of_regions, of_connections, status = prepare.prepare(
+        spark.createDataFrame(edges, "graph string, source string, target string, cost double"), spark.createDataFrame(ends, "graph string, id string, role string"),
+        spark.createDataFrame(regions, "graph string, id string, inradius double, robot_radius double, ellipse_ratio double"), portals,
+    )
+    r = {(x.graph, x.id): x for x in of_regions.collect()}
+    assert r["m", "z"].degree == 0 and r["m", "z"].hits == 0 and not r["m", "z"].on_route and r["m", "z"].pocket_level == "inactive"
+    assert r["m", "a"].open == pytest.approx(1 / (1 + 2.718281828459045 ** (5 - 4))) and r["e", "a"].open_level == "unavailable"
+    assert r["o", "b"].pocket_level == r["o", "b"].alternative_route_level == "unavailable" and r["o", "b"].on_route is None and r["o", "b"].from_start == 1.0
+    c = {(x.graph, x.a, x.b): x for x in of_connections.collect()}
+    assert c["m", "a", "b"].mandatory and c["o", "a", "b"].mandatory and c["e", "a", "b"].mandatory is None and c["m", "a", "b"].narrow_level == "unavailable"
+    assert {x.graph: x.status for x in status.collect()} == {"m": "connected", "o": "connected", "e": "disconnected"}
+
+
+def test_order_statistics_are_exact(spark, monkeypatch):
+    from terrane.operators import voxels
+
+    monkeypatch.setattr(voxels, "SORTED", 50)
+    r = random.Random(3)
+    values = [float(r.randrange(400)) for _ in range(3000)] + [7.0] * 500
+    frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    for rank in (0, 17, 1200, 1750, 3499):
+        assert voxels.order_statistic(frame, "v", rank) == sorted(values)[rank]
+
+
 def test_every_open_cell_of_a_maze_is_reached(spark):
     from terrane.operators import maps
 

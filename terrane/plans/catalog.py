@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import rings
-from ..operators import decompose, graph, labels, maps, planners, prepare, runs, sampling, scoring, spatial, traces, voxels
+from ..operators import assemble, decompose, graph, labels, maps, planners, prepare, runs, sampling, scoring, spatial, traces, voxels
 from ..streaming import decay
 from . import relations as rel
 
@@ -630,6 +630,126 @@ def prepared_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prepared(spark, sf_dir)[2]
 
 
+# Assembly and verification of graphs.
+
+_BOX = ((0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0))
+_MEANS_OF_CELLS = "select c.id, avg(least(px, py, 50 - px, 50 - py)) as mean from (select c.id, c.x0 + 10 * case when half = 0 then u + v else u end as px, c.y0 + 10 * case when half = 0 then v else u + v end as py from cells c, (select (i + o) / 12 as u, (j + o) / 12 as v, half from (select unnest(range(12)) as i) a, (select unnest(range(12)) as j) b, (select unnest([1 / 3.0e0, 2 / 3.0e0]) as o) s, (select unnest([0, 1]) as half) h where i + j < case when o < 0.5 then 12 else 11 end) t) c group by c.id"
+
+
+def _clearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.mean_clearance(rel.cell_vertices(spark, sf_dir), rings.edges(_rings(spark, b=_BOX)))
+
+
+@query(rel.sql(f"select id, round(mean, 6) as mean_clearance from ({_MEANS_OF_CELLS}) m", "cells"))
+def mean_clearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_clearances(spark, sf_dir), "mean_clearance")
+
+
+@query(
+    rel.sql(
+        f", means as ({_MEANS_OF_CELLS}) select a.id as source, b.id as target, case when a.k % 7 <> 0 and b.k % 7 <> 0 then round(10 * least(m.mean, n.mean), 6) end as traversability, case when a.k % 7 <> 0 and b.k % 7 <> 0 then round(7 * least(m.mean, n.mean), 6) end as safe_traversability from {_NEIGHBOURS.replace(' on ', ' on true join means m on m.id = a.id join means n on n.id = b.id where ')}",
+        "cells",
+    )
+)
+def traversability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh region's clearance is unknown."""
+    means = _clearances(spark, sf_dir).join(rel.cells(spark, sf_dir).select("id", "k"), "id").selectExpr("id", "case when k % 7 <> 0 then mean_clearance end as mean_clearance")
+    out = assemble.traversability(spatial.shared_portals(rel.cell_vertices(spark, sf_dir), clearance_=1.5), means)
+    return _rounded(out.select("source", "target", "traversability", "safe_traversability"), "traversability", "safe_traversability")
+
+
+@query(
+    rel.sql(
+        "select 2500.0e0 as boundary_area, round(sum(area), 4) as obstacle_area, round(sum(area) / 2500, 6) as obstacle_area_ratio from (select ((x * (y + 0.5) - (x + w) * y) + ((x + w) * (y + h + 0.5) - (x + w + 0.5) * (y + 0.5)) + ((x + w + 0.5) * (y + h) - x * (y + h + 0.5)) + (x * y - x * (y + h))) / 2 as area from quads0) q",
+        "quads0",
+    )
+)
+def map_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = assemble.map_metrics(_rings(spark, b=_BOX), rel.quads(spark, sf_dir))
+    return out.select("boundary_area", F.round("obstacle_area", 4).alias("obstacle_area"), F.round("obstacle_area_ratio", 6).alias("obstacle_area_ratio"))
+
+
+_ENDS = "select cast(pid % 50 as varchar) as graph, case when pid % 2 = 0 then 'start' else 'goal' end as role, case when pid % 3 > 0 then x end as x, y, pid from points where pid % 97 < 5"
+
+
+@query(
+    rel.sql(
+        f"select e.graph, e.role, c.id from ({_ENDS}) e join cells c on e.x >= c.x0 and e.x <= c.x0 + 10 and e.y >= c.y0 and e.y <= c.y0 + 10 union select e.graph, e.role, c.id from ({_ENDS}) e join cells c on c.k in (e.pid % 30, 3) where e.x is null",
+        "cells", "points",
+    )
+)
+def endpoint_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = rel.cells(spark, sf_dir).selectExpr("map_from_entries(collect_list(struct(k, id))) as names")
+    ends = spark.sql(_ENDS.replace("varchar", "string").replace("from points", "from {points}"), points=rel.points(spark, sf_dir)).crossJoin(names)
+    return assemble.endpoint_regions(ends.selectExpr("graph", "role", "x", "y", "array(names[cast(pid % 30 as int)], names[3]) as ids"), rel.cell_vertices(spark, sf_dir))
+
+
+_BEST = _PATHS + ", best as (select path, cast(row_number() over (order by cost, path) as int) as rank from walk where here = 'NATION_24' order by cost, path limit 5)"
+
+
+@query(rel.sql(_BEST + " select 'grid' as graph, s.rank, s.step, e.source, e.target, e.cost from (select rank, path, cast(unnest(range(len(path) - 1)) as int) as step from best) s join cell_edges e on e.source = s.path[s.step + 1] and e.target = s.path[s.step + 2]", "cells", "cell_edges", recursive=True))
+def sequence_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.sequence_steps(k_loopless_paths(spark, sf_dir), rel.cell_edges(spark, sf_dir).withColumn("graph", F.lit("grid")))
+
+
+@query(rel.sql(_BEST + " select 'grid' as graph, rank, path[1] = 'NATION_0' and path[-1] = 'NATION_24' as valid from best", "cells", "cell_edges", recursive=True))
+def corridor_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = spark.createDataFrame([("grid", "start", 5.0, 5.0, None), ("grid", "goal", 50.0, 45.0, None)], "graph string, role string, x double, y double, ids array<string>")
+    return assemble.corridor_ends(k_loopless_paths(spark, sf_dir), assemble.endpoint_regions(ends, rel.cell_vertices(spark, sf_dir)))
+
+
+_LABELS = ("open", "corridor", "junction", "dead_end", "pocket", "alternative_route")
+_ACTIVE = ", ".join(f"case when {n}_level in ('active', 'very') then '{n}' end" for n in _LABELS)
+
+
+@query(f"select id, list_filter([{_ACTIVE}], lambda x: x is not null) as labels from ({ORACLES['region_labels']}) l")
+def active_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.active_labels(region_labels(spark, sf_dir), _LABELS).select("id", "labels")
+
+
+@query(" union all ".join(f"select id, '{n}' as label from ({ORACLES['region_labels']}) l where {n}_level = 'unavailable'" for n in _LABELS))
+def missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.missing_labels(region_labels(spark, sf_dir), _LABELS)
+
+
+@query(f"select count(*) as items, cast(count_if(len(flags) > 0) as bigint) as flagged from ({ORACLES['explanation_flags']}) f")
+def flagged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explanation_flags(spark, sf_dir).agg(F.count("*").alias("items"), F.count_if(F.size("flags") > 0).alias("flagged"))
+
+
+@query(rel.sql("select id from cells where k in (2, 7) union select c.id from points p join cells c on p.x >= c.x0 and p.x <= c.x0 + 10 and p.y >= c.y0 and p.y <= c.y0 + 10 where p.pid % 1000 = 3", "cells", "points"))
+def protected_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.protected_regions(rel.cells(spark, sf_dir).where("k in (2, 7)"), rel.points(spark, sf_dir).where("pid % 1000 = 3"), rel.cell_vertices(spark, sf_dir))
+
+
+@query(rel.sql("select source, target, cost from (select *, row_number() over (partition by source order by cost, target) as turn from cell_edges) e where turn = 1", "cells", "cell_edges"))
+def cheapest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.cheapest(rel.cell_edges(spark, sf_dir), "source", "cost", "target")
+
+
+@query(rel.sql("select id, cast(ord as int) as ord, round(case ord when 0 then 0.0e0 when 3 then 0.0e0 when 2 then 3.0e0 else 3 * w / (w + 0.5) end, 6) as x, round(case ord when 0 then 1.0e0 when 1 then 1 + 4 * 0.5 / (h + 0.5) when 2 then 5.0e0 else 1 + 4 * h / (h + 0.5) end, 6) as y from quads0, (select unnest(range(4)) as ord) o where winding = 1", "quads0"))
+def restored_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anticlockwise rings stretched onto one box."""
+    v = rel.quads(spark, sf_dir).where("id % 3 <> 0")
+    boxes = v.select("id").distinct().selectExpr("id", "0.0e0 as lx", "1.0e0 as ly", "3.0e0 as hx", "5.0e0 as hy")
+    return _rounded(assemble.restored(v, boxes), "x", "y")
+
+
+@query(f"select count(*) as occupied, round(count(*) / cast((max(i) - min(i) + 1) * (max(j) - min(j) + 1) * (max(k) - min(k) + 1) as double), 9) as ratio from ({ORACLES['occupied_voxels']}) v")
+def infill_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(assemble.infill_ratio(occupied_voxels(spark, sf_dir)), "ratio", digits=9)
+
+
+@query(
+    f"select count(*) as recorded, cast(count_if(path % 6 = 0) as bigint) as failed, cast(count_if(path % 6 <> 0) as bigint) as checked, cast(0 as bigint) as unmeasured, cast(0 as bigint) as stray, round(max(case when path % 6 <> 0 then abs(round(path_length, 3) - path_length) end), 6) as max_error, cast(0 as bigint) as repeated, true as sound from ({ORACLES['path_lengths']}) p"
+)
+def run_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a run whose length was recorded to three digits; a sixth of the runs failed."""
+    measured = path_lengths(spark, sf_dir).selectExpr("path as run", "path_length as measured")
+    recorded = measured.selectExpr("run", "run % 6 <> 0 as success", "case when run % 6 <> 0 then round(measured, 3) end as path_length")
+    return _rounded(assemble.verification(recorded, measured, ("run",)), "max_error")
+
+
 # Traces.
 
 _TRACE = "select user_id as run, event_id as seq, event_id % 17 as child, event_id % 13 as parent, value from events"

@@ -72,6 +72,16 @@ def write_once(df: DataFrame, path: str, inputs: tuple[str, ...] = (), fmt: str
     writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)
 
 
+def append_results(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON lines; earlier rows are never rewritten."""
+    df.write.mode("append").json(path)
+
+
+def write_snapshot(df: DataFrame, path: str, order: tuple[str, ...]) -> None:
+    """A sorted, gzip-compressed table of a tree's nodes, as JSON lines; an earlier snapshot stays."""
+    df.orderBy(*order).write.mode("errorifexists").option("compression", "gzip").json(path)
+
+
 def svg(vertices_: DataFrame, key: str = "id", width: float = 800.0) -> DataFrame:
     """(id, element): each ring as an SVG polygon, scaled into a panel of the given width, y upwards."""
     box = vertices_.agg(F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"))

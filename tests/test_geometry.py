@@ -229,6 +229,35 @@ def test_order_statistics_are_exact(spark, monkeypatch):
         assert voxels.order_statistic(frame, "v", rank) == sorted(values)[rank]
 
 
+def test_results_are_added_and_snapshots_stay(spark, tmp_path):
+    import gzip
+
+    from pyspark.errors import AnalysisException
+
+    from terrane.sources import documents
+
+    for k in (1, 2):
+        documents.append_results(spark.createDataFrame([(k, "ok")], "run int, status string"), f"{tmp_path}/results")
+    assert sorted(r.run for r in spark.read.json(f"{tmp_path}/results").collect()) == [1, 2]
+    nodes = spark.createDataFrame([(k, 9 - k) for k in range(6)], "node int, parent int").repartition(3)
+    documents.write_snapshot(nodes, f"{tmp_path}/tree", ("parent",))
+    lines = [line for f in sorted((tmp_path / "tree").glob("part-*.json.gz")) for line in gzip.open(f, "rt")]
+    assert [int(x.split('"parent":')[1].rstrip("}\n")) for x in lines] == [4, 5, 6, 7, 8, 9]
+    with pytest.raises(AnalysisException):
+        documents.write_snapshot(nodes, f"{tmp_path}/tree", ("parent",))
+
+
+def test_verification_finds_what_is_wrong(spark):
+    from terrane.operators import assemble
+
+    runs_ = spark.createDataFrame([(1, True, 2.0), (1, True, 2.0), (2, True, 3.1), (3, False, 1.0), (4, True, 1.0), (5, False, None)], "run int, success boolean, path_length double")
+    lengths = spark.createDataFrame([(1, 2.0004), (2, 3.0), (3, 1.0)], "run int, measured double")
+    r = assemble.verification(runs_, lengths, ("run",)).first()
+    assert (r.recorded, r.repeated, r.failed, r.checked, r.unmeasured, r.stray, r.sound) == (6, 1, 2, 3, 1, 1, False) and r.max_error == pytest.approx(0.1)
+    fine = assemble.verification(runs_.where("run = 1").limit(1), lengths, ("run",)).first()
+    assert fine.sound and fine.max_error < 1e-3
+
+
 def test_every_open_cell_of_a_maze_is_reached(spark):
     from terrane.operators import maps
 

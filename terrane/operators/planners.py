@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 
 PLANNERS = ("rrt", "rrt*", "rrt#", "brrt", "brrt*")
 STEP, RADIUS, MOST_NODES = 2.0, 6.0, 5000
+#: Tasks that planning jobs are dealt to at most.
+MOST_TASKS = 10_000
 SCHEMA = "map string, planner string, mode string, seed bigint, success boolean, iterations int, nodes_added int, first_solution_iteration int, path_length double, straight_line_distance double, solutions array<double>, path array<array<double>>"
 
 
@@ -213,4 +215,7 @@ def run_jobs(jobs: DataFrame, maps: DataFrame, *, iterations: int = 2000) -> Dat
             rows.append({"map": r.map, "planner": r.planner, "mode": r.mode, "seed": r.seed, **out})
         return pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in SCHEMA.replace("array<array<double>>", "a").replace("array<double>", "a").split(",")])
 
-    return jobs.join(maps, "map").groupBy("map", "planner", "mode", "seed").applyInPandas(solve, SCHEMA)
+    # A run is work that its few bytes hide from a coalescing planner, so the number of tasks is given.
+    keys = ["map", "planner", "mode", "seed"]
+    tasks = max(1, min(jobs.count(), MOST_TASKS))
+    return jobs.join(maps, "map").repartition(tasks, *keys).groupBy(*keys).applyInPandas(solve, SCHEMA)

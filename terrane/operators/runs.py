@@ -94,7 +94,10 @@ def common_subsequence(a: str, b: str) -> Column:
 
 def job_matrix(maps: DataFrame, planners: DataFrame, modes: DataFrame, seeds: DataFrame) -> DataFrame:
     """Every map x planner x mode x seed, numbered with the seeds outermost so that configurations interleave."""
-    jobs = seeds.crossJoin(maps).crossJoin(planners).crossJoin(modes)
+    # Lists of settings: one partition each, or the product would have as many tasks as their partitions' product.
+    jobs = seeds.coalesce(1)
+    for settings in (maps, planners, modes):
+        jobs = jobs.crossJoin(settings.coalesce(1))
     return jobs.withColumn("job", F.row_number().over(Window.orderBy("seed", "map", "planner", "mode")))
 
 

@@ -256,6 +256,24 @@ def test_targets_of_some_values(spark):
         assert share["lang"]["fr"] == pytest.approx(0.2, abs=0.01) and share["lang"][""] == pytest.approx(0.2, abs=0.01)
 
 
+def test_fit_goes_on_until_the_targets_are_met(spark, caplog):
+    """Sources of nearly one language take more rounds than the SQL has; both forms go on, and end where nothing meets the targets."""
+    targets = {"lang": {"en": 0.54, "fr": 0.46}}
+    for cells, english, others in ((mixing.DRIVER_CELLS, 125, 1), (mixing.DRIVER_CELLS, 250, 2), (1, 250, 2)):
+        n = {("a", "en"): english, ("a", "fr"): others, ("b", "fr"): 100, ("b", "en"): others}
+        docs = table(spark, [(1000 * k + i, "ka lo mi ne tu", lang, source) for k, (source, lang) in enumerate(n) for i in range(n[source, lang])])
+        p = {(r.source, r.lang): r.probability for r in mixing.mix_report(spark, docs, targets=targets, driver_cells=cells).collect()}
+        total = sum(n[c] * p[c] for c in n)
+        share = {s: sum(n[s, x] for x in ("en", "fr")) ** mixing.POWERS["source"] for s in "ab"}
+        assert sum(n[s, "en"] * p[s, "en"] for s in "ab") / total == pytest.approx(0.54, abs=2e-5)
+        assert sum(n["a", x] * p["a", x] for x in ("en", "fr")) / total == pytest.approx(share["a"] / sum(share.values()), abs=2e-5)
+    assert not caplog.records
+    apart = table(spark, [(i, "ka lo", ("en", "fr")[i % 2], ("a", "b")[i % 2]) for i in range(20)])
+    for cells in (mixing.DRIVER_CELLS, 1):
+        assert {(r.lang, r.probability) for r in mixing.mix_report(spark, apart, targets={"lang": {"en": 0.8, "fr": 0.2}}, driver_cells=cells).collect()} == {("en", 1.0), ("fr", 0.25)}
+    assert len(caplog.records) == 2
+
+
 def test_mix_table_form_and_odd_rows(spark):
     docs = odd_docs(spark)
     a = sorted_rows(mixing.mix_report(spark, docs, rounds=4))
